@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history",)
+MODULES = ("history", "features_horse", "features_people")
 
 
 def load_all() -> None:

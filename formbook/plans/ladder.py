@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formbook.plans.ordered import Running, ordered
-from formbook.plans.skew import SkewProfile
+from formbook.plans.skew import SkewProfile, profile_for
+from formbook.plans.within import with_totals
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -76,3 +77,36 @@ def race_ladder(
 
 def attach_race_ladder(df, keys, sums, order=("race_date", "race_id"), skew=None) -> DataFrame:
     return df.join(race_ladder(df, keys, sums, order, skew), [*keys, "race_id"], "left")
+
+
+def calendar_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    sums: dict[str, Column],
+    days: Sequence[int],
+    skew: SkewProfile | None = None,
+    date: str = "race_date",
+) -> DataFrame:
+    """Add ``<name>_<n>d``: sums over the last ``n`` days, today excluded.
+
+    For sparse entities (horses) a range frame over the rows is cheapest; hot
+    entities go through the day ladder.
+    """
+    cold, hot = profile_for(df, keys, skew).split(df, keys)
+    w = Window.partitionBy(*keys).orderBy(day_number(date))
+    out = cold.select("*", *[
+        F.coalesce(F.sum(c).over(w.rangeBetween(-d, -1)), F.lit(0)).alias(f"{n}_{d}d")
+        for d in days for n, c in sums.items()])
+    if hot is None:
+        return out
+    return out.unionByName(attach_day_ladder(hot, keys, sums, days, lifetime=False, date=date))
+
+
+def day_start_view(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], skew: SkewProfile | None = None, date: str = "race_date",
+    order: Sequence[str] = ("race_id", "horse_id"),
+) -> DataFrame:
+    """All of an entity's rows on one day take the values of its first row that day."""
+    first = F.min_by(F.struct(*cols), F.struct(*order))
+    out = with_totals(df, [*keys, date], {"_day": first}, skew)
+    return out.drop(*cols).select("*", *[F.col(f"_day.{c}").alias(c) for c in cols]).drop("_day")

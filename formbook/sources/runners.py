@@ -67,7 +67,7 @@ def load_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
         _mapped("c_mktsegment", RACE_TYPES, "Flat").alias("race_type"),
         _mapped("o_orderstatus", SURFACES, "Turf").alias("surface"),
         F.concat(F.lit("Class "), (r % 6 + 1).cast("string")).alias("race_class"),
-        F.col("o_totalprice").alias("prize_money"),
+        F.floor("o_totalprice").cast("double").alias("prize_money"),
         (F.lit(5.0) + (F.col("o_custkey") % 20) / F.lit(2.0)).cast("double").alias("distance_furlongs"),
         (r % 2).cast("int").alias("handicap"),
         (F.lit(12.0) * 60 + r % 480).cast("int").alias("off_minute"),
@@ -89,7 +89,7 @@ def load_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(finished, finish).otherwise(0).cast("int").alias("finish_position"),
         F.when(finished, F.lit("")).otherwise(F.lit("PU")).alias("finish_pos_label"),
         F.when(finished & (finish == 1), 1).otherwise(0).cast("int").alias("won"),
-        F.when(finished, (top - F.col("ep")) / F.lit(10000.0)).cast("double").alias("lengths_behind"),
+        F.when(finished, F.floor((top - F.col("ep")) / F.lit(10.0)) / F.lit(1000.0)).cast("double").alias("lengths_behind"),
     )
 
 
@@ -116,7 +116,7 @@ runners as (
       when '4-NOT SPECIFIED' then 'Heavy' when '5-LOW' then 'Yielding' else 'Good' end as going,
     case c_mktsegment when 'BUILDING' then 'Hurdle' when 'MACHINERY' then 'Chase' else 'Flat' end as race_type,
     case o_orderstatus when 'F' then 'Turf' when 'O' then 'AW' when 'P' then 'Polytrack' else 'Turf' end as surface,
-    'Class ' || cast(l_orderkey % 6 + 1 as varchar) as race_class, o_totalprice as prize_money,
+    'Class ' || cast(l_orderkey % 6 + 1 as varchar) as race_class, floor(o_totalprice) as prize_money,
     cast(5 + (o_custkey % 20) / 2.0 as double) as distance_furlongs,
     cast(l_orderkey % 2 as integer) as handicap, cast(720 + l_orderkey % 480 as integer) as off_minute,
     cast(115 + p_size as double) as weight_lbs, cast(2 + p_size % 8 as integer) as age,
@@ -133,7 +133,7 @@ runners as (
     cast(case when nf = 0 then fin else 0 end as integer) as finish_position,
     case when nf = 0 then '' else 'PU' end as finish_pos_label,
     cast(case when nf = 0 and fin = 1 then 1 else 0 end as integer) as won,
-    cast(case when nf = 0 then (top_ep - ep) / cast(10000 as double) end as double) as lengths_behind
+    cast(case when nf = 0 then floor((top_ep - ep) / cast(10 as double)) / cast(1000 as double) end as double) as lengths_behind
   from placed)
 """
 
