@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.catalog.history import HW, PRIOR, history_base
-from formbook.catalog.registry import WITH_FLAGS, query, runner_skew
+from formbook.catalog.registry import WITH_FLAGS, query, r6, r6_sql, runner_skew
 from formbook.features import horse as H
 
 KEY = ["race_id", "horse_id"]
 
 
-def pick(df: DataFrame, ints: str = "", doubles: str = "", keys=KEY) -> DataFrame:
+def pick(df: DataFrame, ints: str = "", doubles: str = "", keys=KEY, digits: int = 6) -> DataFrame:
     """Project to comparable types: whole numbers as bigint, the rest rounded."""
     return df.select(*keys, *[F.col(c).cast("long").alias(c) for c in ints.split()],
-                     *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in doubles.split()])
+                     *[r6(c, digits=digits) for c in doubles.split()])
 
 
 def ints(**cols: str) -> str:
     return ", ".join(f"cast({e} as bigint) as {n}" for n, e in cols.items())
 
 
-def dbls(**cols: str) -> str:
-    return ", ".join(f"round(cast({e} as double), 6) + 0.0 as {n}" for n, e in cols.items())
+def dbls(digits: int = 6, **cols: str) -> str:
+    return ", ".join(r6_sql(e, n, digits) for n, e in cols.items())
 
 
 def rate_sql(w: str, n: str, minimum: int = 0) -> str:
@@ -192,14 +192,13 @@ v as (select *, coalesce(lag(g) {LAG}, 0) as pg, coalesce(mx, 0) as top,
   case when n > 0 then ps / n else 0 end as av from w)
 select race_id, horse_id, {ints(first_time_gelded='g = 1 and pg = 0 and n > 0',
   stepping_up_in_purse='n > 0 and prize_money > top * 1.5')},
-  round(top, 4) + 0.0 as horse_max_prize_contested, round(av, 4) + 0.0 as horse_avg_prize_contested,
-  round(prize_money - av, 4) + 0.0 as prize_money_change_vs_avg from v""")
+  {dbls(4, horse_max_prize_contested='top', horse_avg_prize_contested='av',
+        prize_money_change_vs_avg='prize_money - av')} from v""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
     df = H.add_prize_money_features(H.add_medical_features(history_base(spark, sf), skew), skew)
-    return df.select(*KEY, *[F.col(c).cast("long").alias(c) for c in ("first_time_gelded", "stepping_up_in_purse")], *[
-        (F.round(c, 4) + F.lit(0.0)).alias(c)
-        for c in ("horse_max_prize_contested", "horse_avg_prize_contested", "prize_money_change_vs_avg")])
+    return pick(df, "first_time_gelded stepping_up_in_purse",
+                "horse_max_prize_contested horse_avg_prize_contested prize_money_change_vs_avg", digits=4)
 
 
 @query("collateral_form", "E24 J7 W9", f"""{WITH_FLAGS}, n as (select *,
@@ -207,9 +206,9 @@ def _(spark, sf):
 a as (select c.race_id, c.horse_id, count(*) as k, avg(cast(v.nfp = 1 as integer)) as wr,
     avg(cast(v.nfp between 1 and 3 as integer)) as pl
   from n c join n v on v.race_id = c.pr and v.horse_id <> c.horse_id and v.nd < c.race_date group by 1, 2)
-select race_id, horse_id, cast(coalesce(k, 0) as bigint) as collateral_n_rivals,
-  round(wr, 6) as collateral_next_win_rate, round(pl, 6) as collateral_next_place_rate,
-  round(wr - avg(wr) over (partition by race_id), 6) + 0.0 as collateral_next_win_rate_vs_field
+select race_id, horse_id, {ints(collateral_n_rivals='coalesce(k, 0)')},
+  {dbls(collateral_next_win_rate='wr', collateral_next_place_rate='pl',
+        collateral_next_win_rate_vs_field='wr - avg(wr) over (partition by race_id)')}
 from r left join a using (race_id, horse_id)""")
 def _(spark, sf):
     df = H.add_collateral_form_features(history_base(spark, sf), runner_skew(spark, sf))

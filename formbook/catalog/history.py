@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formbook.catalog.registry import WITH_FLAGS, i64, query, r6, runner_skew
+from formbook.catalog.registry import WITH_FLAGS, i64, query, r6, r6_sql, runner_skew, runner_table
 from formbook.features.flags import ORDER, add_result_flags
 from formbook.functions.numeric import rate, shrink
 from formbook.plans.ewma import with_ewma
-from formbook.plans.ordered import Rolling, Running, Shift, ordered
+from formbook.plans.ordered import Rolling, Running, ordered
 from formbook.plans.within import with_ranks
-from formbook.sources.runners import load_runners
 
 
 def history_base(spark, sf):
-    return add_result_flags(load_runners(spark, sf))
+    return add_result_flags(runner_table(spark, sf))
 
 
 HW = "partition by horse_id order by race_date, race_id"
@@ -27,27 +26,27 @@ w as (select race_id, horse_id, coalesce(sum(rs) over {PRIOR}, 0) as runs, coale
 s as (select *, (runs * (case when runs > 0 then cast(wins as double) / runs else 0 end) + 0.8) / (runs + 8.0)
         as shrunk from w)
 select race_id, horse_id, cast(runs as bigint) as runs, cast(wins as bigint) as wins,
-  round(cast(shrunk as double), 6) as win_rate_shrunk,
-  rank() over (partition by race_id order by round(cast(shrunk as double), 6) desc) as race_rank from s""")
+  {r6_sql('shrunk', 'win_rate_shrunk')},
+  rank() over (partition by race_id order by round(cast(shrunk as double) + 3.1e-8, 6) desc) as race_rank from s""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
     df = history_base(spark, sf).select("race_id", "race_date", "horse_id", "rs", "won")
     df = ordered(df, ["horse_id"], ORDER, {
         "runs": Running("sum", F.col("rs")), "wins": Running("sum", F.col("won"))}, skew)
     df = df.fillna(0, ["runs", "wins"])
-    df = df.withColumn("win_rate_shrunk", r6(shrink(rate("wins", "runs"), "runs", 0.10, 8.0), "x"))
+    df = df.withColumn("win_rate_shrunk", r6(shrink(rate("wins", "runs"), "runs", 0.10, 8.0), "win_rate_shrunk"))
     df = with_ranks(df, ["race_id"], {"race_rank": ("min", "win_rate_shrunk", True)}, skew=skew)
     return df.select("race_id", "horse_id", i64("runs"), i64("wins"), "win_rate_shrunk", i64("race_rank"))
 
 
 @query("rolling_form", "W3", f"""{WITH_FLAGS}
 select race_id, horse_id,
-  round(avg(fp) over ({HW} rows between 3 preceding and 1 preceding), 6) as avg_pos_3,
-  round(avg(fp) over ({HW} rows between 10 preceding and 1 preceding), 6) as avg_pos_10,
+  {r6_sql('avg(fp) over (' + HW + ' rows between 3 preceding and 1 preceding)', 'avg_pos_3')},
+  {r6_sql('avg(fp) over (' + HW + ' rows between 10 preceding and 1 preceding)', 'avg_pos_10')},
   cast(sum(won) over ({HW} rows between 20 preceding and 1 preceding) as bigint) as wins_20,
   cast(min(fp) over ({HW} rows between 5 preceding and 1 preceding) as bigint) as best_5,
   cast(max(fp) over ({HW} rows between 5 preceding and 1 preceding) as bigint) as worst_5,
-  round(stddev_samp(fp) over ({HW} rows between 5 preceding and 1 preceding), 6) as std_5
+  {r6_sql('stddev_samp(fp) over (' + HW + ' rows between 5 preceding and 1 preceding)', 'std_5')}
 from r""")
 def _(spark, sf):
     fp = F.col("fp")
@@ -65,8 +64,8 @@ n as (select race_id, horse_id, race_date, fp, count(fp) over {PRIOR} as m from
 t as (select *, exp(m * ln(2.0) / 3) * fp * (case when m = 0 then 1 else 1 - exp(-ln(2.0) / 3) end) as w3,
              exp(m * ln(2.0) / 7) * fp * (case when m = 0 then 1 else 1 - exp(-ln(2.0) / 7) end) as w7 from n)
 select race_id, horse_id,
-  round(sum(w3) over {PRIOR} * exp(-(m - 1) * ln(2.0) / 3), 6) as ewma_pos_3,
-  round(sum(w7) over {PRIOR} * exp(-(m - 1) * ln(2.0) / 7), 6) as ewma_pos_7
+  {r6_sql(f'sum(w3) over {PRIOR} * exp(-(m - 1) * ln(2.0) / 3)', 'ewma_pos_3')},
+  {r6_sql(f'sum(w7) over {PRIOR} * exp(-(m - 1) * ln(2.0) / 7)', 'ewma_pos_7')}
 from t""")
 def _(spark, sf):
     df = with_ewma(history_base(spark, sf), ["horse_id"], ORDER,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formbook.plans.skew import SkewProfile
-from formbook.session import hot_row_limit, prepare
+from formbook.session import checkpoint_root, hot_row_limit, prepare
 from formbook.sources.runners import FLAGS_SQL, RUNNERS_SQL, load_runners
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,21 +46,44 @@ ENTITY_KEYS = [
 ]
 
 _profiles: dict[tuple, SkewProfile] = {}
+_tables: dict[tuple, str] = {}
+
+
+def runner_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner table, written once per session next to the checkpoints.
+
+    The stages scan it several times, each time a few columns; a stored table
+    gives them column pruning and saves rebuilding it from order lines.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        path = f"{checkpoint_root(spark)}/runners-{uuid.uuid4().hex}"
+        load_runners(spark, sf_dir).write.parquet(path)
+        _tables[key] = path
+    return spark.read.parquet(_tables[key])
 
 
 def runner_skew(spark: SparkSession, sf_dir: str) -> SkewProfile:
     """Skew profile of the runner table, counted once per session and input."""
     key = (spark.sparkContext.applicationId, sf_dir, hot_row_limit(spark))
     if key not in _profiles:
-        _profiles[key] = SkewProfile.of(load_runners(spark, sf_dir), ENTITY_KEYS)
+        _profiles[key] = SkewProfile.of(runner_table(spark, sf_dir), ENTITY_KEYS)
     return _profiles[key]
 
 
+# Added before rounding, so that an exact decimal half is not decided by the
+# order in which an engine happened to add.
+NUDGE = 3.1e-8
+
+
 def r6(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     """Rounded double for comparison across engines."""
     col = F.col(c) if isinstance(c, str) else c
-    # Adding zero turns -0.0 into 0.0.
-    return (F.round(col.cast("double"), digits) + F.lit(0.0)).alias(name or c)
+    return F.round(col.cast("double") + F.lit(NUDGE), digits).alias(name or c)
+
+
+def r6_sql(expr: str, name: str, digits: int = 6) -> str:
+    return f"round(cast({expr} as double) + {NUDGE}, {digits}) as {name}"
 
 
 def i64(c: str | Column, name: str | None = None) -> Column:

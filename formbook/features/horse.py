@@ -314,8 +314,7 @@ def add_collateral_form_features(df: DataFrame, skew=None) -> DataFrame:
     """
     df = horse_history(df, {"_next": Shift(F.unix_date("race_date"), -1),
                             "_nfp": Shift(F.col("finish_position"), -1)}, skew)
-    known = F.col("_next").isNotNull()
-    per_day = df.where(known).groupBy("race_id", "_next").agg(
+    per_day = df.where(F.col("_next").isNotNull()).groupBy("race_id", "_next").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((F.col("_nfp") == 1).cast("int")).alias("_w"),
         F.sum(F.col("_nfp").between(1, 3).cast("int")).alias("_p"))
     before = ordered(per_day, ["race_id"], ["_next"], {
@@ -339,9 +338,10 @@ def add_speed_figure_features(df: DataFrame, skew=None) -> DataFrame:
     df = df.withColumn("_cls", class_number("race_class", 5))
     quality = clip(1.0 - (F.col("_cls") - 1) * 0.1, 0.4, 1.0)
     df = df.withColumn("_adj", F.col("_lpf") + (1.0 - quality) * 0.5)
+    src = df
     df = with_totals(df, ["race_id"], {"_med": F.median("_lpf")}, skew)
     df = df.withColumn("_rel", F.col("_lpf") - F.col("_med"))
-    df = class_history(df, skew)
+    df = with_class_history(df, src, skew)
     spread = F.coalesce(F.when(F.col("_class_std") != 0, F.col("_class_std")), F.lit(1.0))
     df = df.withColumn("_z", (F.col("_lpf") - F.col("_class_median")) / spread)
     df = horse_history(df, {
@@ -357,14 +357,14 @@ def add_speed_figure_features(df: DataFrame, skew=None) -> DataFrame:
         (F.col("speed_z_class_avg_5") - F.col("speed_z_class_avg_10")).alias("speed_z_class_trend")))
 
 
-def class_history(df: DataFrame, skew=None) -> DataFrame:
+def with_class_history(df: DataFrame, source: DataFrame, skew=None) -> DataFrame:
     """Median and standard deviation of the class's figures on earlier days.
 
     A class holds a large share of all rows, so nothing is collected per class:
     the deviation comes from day-level sums, the median from rank leaves.
     """
     keys = ["_cls"]
-    daily = df.groupBy(*keys, "race_date").agg(
+    daily = source.groupBy(*keys, "race_date").agg(
         F.count("_lpf").alias("_n"), F.sum("_lpf").alias("_s"), F.sum(F.col("_lpf") * F.col("_lpf")).alias("_q"))
     past = ordered(daily, keys, ["race_date"], {
         "_pn": Running("sum", F.col("_n")), "_ps": Running("sum", F.col("_s")), "_pq": Running("sum", F.col("_q"))},
@@ -372,7 +372,7 @@ def class_history(df: DataFrame, skew=None) -> DataFrame:
     var = (F.col("_pq") - F.col("_ps") * F.col("_ps") / F.col("_pn")) / (F.col("_pn") - 1)
     past = past.select(*keys, "race_date", F.when(F.col("_pn") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
                        .alias("_class_std"))
-    medians = expanding_median(df, keys, "race_date", "_lpf").withColumnRenamed("median", "_class_median")
+    medians = expanding_median(source, keys, "race_date", "_lpf").withColumnRenamed("median", "_class_median")
     return df.join(past, [*keys, "race_date"], "left").join(medians, [*keys, "race_date"], "left")
 
 

@@ -165,11 +165,16 @@ def add_pace_style_features(df: DataFrame, skew=None) -> DataFrame:
     df = with_totals(df, RACE, {"_m": F.avg(idx), "_s": F.stddev_samp(idx), "_hi": F.max(idx), "_lo": F.min(idx),
                                 "_mb": F.avg(bias)}, skew)
     margin = 0.35 * F.coalesce("_s", F.lit(0.0))
+
+    def at(x: Column) -> Column:
+        # Summation order must not decide a tie with the threshold.
+        return F.round(x, 9)
+
     df = df.select(
         "*", flag(idx.isNotNull()).alias("has_pace_style_history"), (idx - bias).alias("pace_style_balance"),
         (idx - F.col("_m")).alias("pace_style_vs_field"), (bias - F.col("_mb")).alias("pace_finish_bias_vs_field"),
-        flag((idx >= F.col("_m") + margin) & (idx > 0)).alias("pace_front_runner_flag"),
-        flag((idx <= F.col("_m") - margin) & (bias > 0)).alias("pace_closer_flag"))
+        flag((at(idx) >= at(F.col("_m") + margin)) & (idx > 1e-9)).alias("pace_front_runner_flag"),
+        flag((at(idx) <= at(F.col("_m") - margin)) & (bias > 1e-9)).alias("pace_closer_flag"))
     df = with_totals(df, RACE, {"_front": F.sum("pace_front_runner_flag"), "_close": F.sum("pace_closer_flag")}, skew)
     df = with_ranks(df, RACE, {"pace_rank": ("min", "pace_style_index", True)}, skew=skew)
     size = F.when(F.coalesce("num_runners", F.lit(1)) == 0, 1).otherwise(F.coalesce("num_runners", F.lit(1)))

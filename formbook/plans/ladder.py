@@ -50,9 +50,17 @@ def day_ladder(
     return daily.select(*keys, date, *cols)
 
 
-def attach_day_ladder(df: DataFrame, keys, sums, days=(), lifetime=True, date="race_date") -> DataFrame:
-    """``df`` with the day ladder's columns (null where the key is null)."""
-    return df.join(day_ladder(df, keys, sums, days, lifetime, date), [*keys, date], "left")
+def attach_day_ladder(
+    df: DataFrame, keys, sums, days=(), lifetime=True, date="race_date", source: DataFrame | None = None
+) -> DataFrame:
+    """``df`` with the day ladder's columns (null where the key is null).
+
+    ``source`` is the table the ladder is built from.  Stages that attach several
+    ladders pass their input, so that a ladder never re-evaluates the joins of
+    the ladders before it.
+    """
+    ladder = day_ladder(df if source is None else source, keys, sums, days, lifetime, date)
+    return df.join(ladder, [*keys, date], "left")
 
 
 def race_ladder(
@@ -75,8 +83,11 @@ def race_ladder(
     return out.select(*keys, "race_id", *[F.coalesce(f"_p_{n}", F.lit(0)).alias(n) for n in sums])
 
 
-def attach_race_ladder(df, keys, sums, order=("race_date", "race_id"), skew=None) -> DataFrame:
-    return df.join(race_ladder(df, keys, sums, order, skew), [*keys, "race_id"], "left")
+def attach_race_ladder(
+    df, keys, sums, order=("race_date", "race_id"), skew=None, source: DataFrame | None = None
+) -> DataFrame:
+    ladder = race_ladder(df if source is None else source, keys, sums, order, skew)
+    return df.join(ladder, [*keys, "race_id"], "left")
 
 
 def calendar_sums(
