@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history", "features_horse", "features_people", "features_race")
+MODULES = ("history", "features_horse", "features_people", "features_race", "betting")
 
 
 def load_all() -> None:
