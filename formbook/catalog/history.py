@@ -27,7 +27,7 @@ s as (select *, (runs * (case when runs > 0 then cast(wins as double) / runs els
         as shrunk from w)
 select race_id, horse_id, cast(runs as bigint) as runs, cast(wins as bigint) as wins,
   {r6_sql('shrunk', 'win_rate_shrunk')},
-  rank() over (partition by race_id order by round(cast(shrunk as double) + 3.1e-8, 6) desc) as race_rank from s""")
+  rank() over (partition by race_id order by round(cast(shrunk as double) + 3.1415926e-8, 6) desc) as race_rank from s""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
     df = history_base(spark, sf).select("race_id", "race_date", "horse_id", "rs", "won")

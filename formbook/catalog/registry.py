@@ -73,7 +73,7 @@ def runner_skew(spark: SparkSession, sf_dir: str) -> SkewProfile:
 
 # Added before rounding, so that an exact decimal half is not decided by the
 # order in which an engine happened to add.
-NUDGE = 3.1e-8
+NUDGE = 3.1415926e-8
 
 
 def r6(c: str | Column, name: str | None = None, digits: int = 6) -> Column:

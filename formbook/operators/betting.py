@@ -147,18 +147,19 @@ def adjust_place_probs(df: DataFrame, paid: str = "ew_places", win_prob: str = "
     k, n = F.col(paid).cast("double"), F.col("_n")
     squeeze = clip(1.0 - 2.0 * F.greatest(k / n - 0.25, F.lit(0.0)), 0.5, 1.0)
     start = logit(clip(k / n, 1e-6, 1.0 - 1e-6)) - F.col("_zm")
-    df = df.withColumn("_z", F.col("_zm") + squeeze * (F.col("_z") - F.col("_zm"))).withColumn("_d", start)
+    z = (F.col("_zm") + squeeze * (F.col("_z") - F.col("_zm"))).alias("_z")
+    rest = [c for c in df.columns if c not in ("_z", "_zm")]
+    df = df.select(*rest, z, start.alias("_d"))
     for _ in range(NEWTON_STEPS):
         s = sigmoid(F.col("_z") + F.col("_d"))
-        df = with_totals(df.withColumn("_p", s), race, {
-            "_sum": F.sum("_p"), "_slope": F.sum(F.col("_p") * (1.0 - F.col("_p")))}, skew)
+        df = with_totals(df, race, {"_sum": F.sum(s), "_slope": F.sum(s * (1.0 - s))}, skew)
         gap = F.col("_sum") - k
         step = F.when((F.abs(gap) >= 1e-8) & (F.col("_slope") >= 1e-12), gap / F.col("_slope")).otherwise(0.0)
-        df = df.withColumn("_d", F.col("_d") - step).drop("_p", "_sum", "_slope")
+        df = df.select(*rest, "_z", (F.col("_d") - step).alias("_d"))
     value = (F.when(k <= 0, 0.0).when(k >= n, F.lit(1.0)).when(F.col("_raw") < 1e-8, k / n)
              .otherwise(sigmoid(F.col("_z") + F.col("_d"))))
     floor = F.when(k <= 0, 0.0).otherwise(F.greatest(value, F.col(win_prob)))
-    return df.withColumn(name, clip(floor, 0.0, 1.0)).drop("_z", "_n", "_zm", "_raw", "_d")
+    return df.withColumn(name, clip(floor, 0.0, 1.0)).drop("_z", "_n", "_raw", "_d")
 
 
 def fallback_place_probs(df: DataFrame, win_prob: str = "model_prob", name: str = "place_prob_fallback",

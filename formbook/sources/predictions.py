@@ -13,7 +13,8 @@ def with_predictions(runners: DataFrame, skew=None) -> DataFrame:
     h, r = F.col("horse_id"), F.col("race_id")
     raw = (1.0 / F.col("odds")) * (1.0 + ((h * 31 + r * 17) % 81 - 40) / F.lit(100.0))
     df = with_totals(runners.withColumn("_raw", raw), ["race_id"], {"_tot": F.sum("_raw")}, skew)
-    p = F.col("_raw") / F.col("_tot")
+    # Nine digits: equal chances compare equal whatever order the total was summed in.
+    p = F.round(F.col("_raw") / F.col("_tot"), 9)
     bsp = F.when((h + r) % 5 != 0, F.round(F.col("odds") * (1.0 + ((h * 7 + r) % 21 - 8) / F.lit(50.0)), 2))
     return df.select(
         *runners.columns, p.alias("model_prob"),
@@ -25,7 +26,7 @@ def with_predictions(runners: DataFrame, skew=None) -> DataFrame:
 PREDICTIONS_SQL = """
 raw_ as (select *, (1.0 / odds) * (1.0 + ((horse_id * 31 + race_id * 17) % 81 - 40) / cast(100 as double)) as raw_p
   from runners),
-tot_ as (select *, raw_p / sum(raw_p) over (partition by race_id) as model_prob from raw_),
+tot_ as (select *, round(raw_p / sum(raw_p) over (partition by race_id), 9) as model_prob from raw_),
 preds as (select * exclude (raw_p), least(0.95, model_prob * 2.2 + 0.02) as place_prob,
   cast(horse_id * 13 % 29 + race_id % 7 + 10 * model_prob as double) as score,
   case when (horse_id + race_id) % 5 <> 0 then
