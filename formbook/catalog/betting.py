@@ -200,7 +200,7 @@ def _(spark, sf):
 
 # ---- parameter grids -----------------------------------------------------------
 
-_PRE = f"""{WITH_PREDS}, {_TERMS.replace('preds)', 'preds)')}, terms_ as (select * exclude (frac),
+_PRE = f"""{WITH_PREDS}, {_TERMS}, terms_ as (select * exclude (frac),
   case when elig then 0.25 else 0.0 end as frac from terms), {newton_sql('terms_')}, adj_ as (select * from adj),
 {ew_sql('pp')}, pre as (select *, (model_prob - 1 / odds) / sqrt(odds / 3.0) as ne,
   case when won = 1 then odds - 1 else -1.0 end as vp, elig and (ew_ev > 0 or place_ev > 0) as isv,
@@ -224,6 +224,9 @@ _EHALF = """eh as (select min_place_edge, min_odds, max_odds, count(ne) as n, co
     on isv and place_edge > min_place_edge and odds >= min_odds and odds <= max_odds group by 1, 2, 3)"""
 
 
+PATH_KEYS_SQL = f"{_AXES}, {_VHALF.format(src='pre_')}"
+
+
 def div(a: str, b: str, scale: int = 1) -> str:
     return f"case when {b} > 0 then {a} / {b} * {scale} else 0 end"
 
