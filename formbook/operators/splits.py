@@ -39,6 +39,7 @@ def with_test_flag(df: DataFrame, test_share: float = 0.2) -> DataFrame:
     Rows before a race are counted per day, then per race inside the day, so the
     order of all rows is never established in one place.
     """
+    df = df.drop("is_test")
     races = df.groupBy("race_date", "race_id").agg(F.count(F.lit(1)).alias("_c"))
     inside = ordered(races, ["race_date"], ["race_id"], {"_in": Running("sum", F.col("_c"))})
     # One row per calendar day.
