@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history", "features_horse", "features_people", "features_race", "betting", "scoring", "parsing", "diagnostics", "ratings", "models", "streams")
+MODULES = ("history", "features_horse", "features_people", "features_race", "betting", "scoring", "parsing", "diagnostics", "ratings", "models", "streams", "builds")
 
 
 def load_all() -> None:

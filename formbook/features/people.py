@@ -20,13 +20,16 @@ from formbook.plans.ordered import Rolling, Running, ordered
 from formbook.plans.skew import SkewProfile
 
 ROW_ORDER = (*ORDER, "horse_id")
-RESULTS = {"_n": F.col("rs"), "_w": F.col("won_hist"), "_p": F.col("placed_hist")}
+
+
+def results() -> dict[str, Column]:
+    return {"_n": F.col("rs"), "_w": F.col("won_hist"), "_p": F.col("placed_hist")}
 
 
 def date_strict_record(df, keys: Sequence[str], prefix: str, runs: str, strength: float,
                        days: Sequence[int] = (), source: DataFrame | None = None) -> DataFrame:
     """Lifetime win/place rates (raw and shrunk) and calendar-window rates of an entity."""
-    df = attach_day_ladder(df, keys, RESULTS, days, source=source)
+    df = attach_day_ladder(df, keys, results(), days, source=source)
     n = f"{prefix}_{runs}"
     cols = [F.col("_n").alias(n), rate("_w", "_n").alias(f"{prefix}_win_rate"),
             shrink(rate("_w", "_n"), "_n", 0.10, strength).alias(f"{prefix}_win_rate_shrunk"),

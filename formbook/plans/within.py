@@ -64,6 +64,35 @@ def with_ranks(
     return out.unionByName(hot)
 
 
+def with_percent_ranks(
+    df: DataFrame, keys: Sequence[str], ranks: dict[str, tuple[str, bool]], skew: SkewProfile | None = None
+) -> DataFrame:
+    """Average-tie percent ranks of many columns: name -> (column, descending).
+
+    One sort per column would dominate wide tables, so an ordinary group's
+    values are gathered per column (a race is a short array) and compared in
+    place; hot groups are ranked by slices as in :func:`with_ranks`.
+    """
+    cold, hot = profile_for(df, keys, skew).split(df, keys)
+    w = Window.partitionBy(*keys)
+    wanted = sorted({c for c, _ in ranks.values()})
+    rows = cold.select("*", *[F.collect_list(c).over(w).alias(f"_all_{c}") for c in wanted])
+
+    def rank(c: str, desc: bool) -> Column:
+        field, mine = F.col(f"_all_{c}"), F.col(c)
+        better = F.size(F.filter(field, lambda x: x > mine if desc else x < mine))
+        ties = F.size(F.filter(field, lambda x: x == mine))
+        return F.when(mine.isNotNull(), (better + (ties + 1) / 2.0) / F.size(field))
+
+    out = rows.select(*cold.columns, *[rank(c, d).alias(n) for n, (c, d) in ranks.items()])
+    if hot is None:
+        return out
+    limit = profile_for(df, keys, skew).limit
+    for name, (c, desc) in ranks.items():
+        hot = _hot_rank(hot, keys, name, "pct", c, desc, None, limit)
+    return out.unionByName(hot)
+
+
 def _hot_rank(df, keys, name, kind, col, desc, tie, limit) -> DataFrame:
     signed = (-F.col(col) if desc else F.col(col)).cast("double")
     df = df.withColumn("_v", signed)
