@@ -182,32 +182,35 @@ def with_ordinal(df: DataFrame, keys, order, name: str, limit: int) -> DataFrame
         F.array_distinct(F.percentile_approx(number, [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_edges"))
     # Written once: both uses below must see the same edges.
     edges = edges.checkpoint()
+    # Names carry the depth: the last step may cut a slice again.
+    d = len(keys)
+    slice_, lead_, before, ahead, inside = (f"_{n}{d}" for n in ("slice", "lead", "before", "ahead", "in"))
     sliced = null_safe_join(df, edges, keys).withColumn(
-        "_slice", F.when(number.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_edges", lambda e: e < number)))
+        slice_, F.when(number.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_edges", lambda e: e < number)))
     ).drop("_edges")
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    counts = sliced.groupBy(*keys, slice_).agg(F.count(F.lit(1)).alias("_n"))
     earlier = counts.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(UNBOUNDED, -1)),
-                   F.lit(0)).alias("_before"))
-    inner = [*keys, "_slice"]
+        *keys, slice_,
+        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(slice_).rowsBetween(UNBOUNDED, -1)),
+                   F.lit(0)).alias(before))
+    inner = [*keys, slice_]
     crowded = counts.agg(F.max("_n")).first()[0] > limit
     if crowded and rest:
         # Order by the leading value first, then split its ties by the rest.
-        lead_counts = sliced.groupBy(*inner, lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_n"))
-        ahead = lead_counts.select(
-            *inner, "_lead",
-            F.coalesce(F.sum("_n").over(Window.partitionBy(*inner).orderBy("_lead").rowsBetween(UNBOUNDED, -1)),
-                       F.lit(0)).alias("_ahead"))
-        sliced = null_safe_join(sliced.withColumn("_lead", lead), ahead, [*inner, "_lead"])
-        sliced = with_ordinal(sliced, [*inner, "_lead"], rest, "_in", limit)
-        here = F.col("_ahead") + F.col("_in")
+        lead_counts = sliced.groupBy(*inner, lead.alias(lead_)).agg(F.count(F.lit(1)).alias("_n"))
+        ties_before = lead_counts.select(
+            *inner, lead_,
+            F.coalesce(F.sum("_n").over(Window.partitionBy(*inner).orderBy(lead_).rowsBetween(UNBOUNDED, -1)),
+                       F.lit(0)).alias(ahead))
+        sliced = null_safe_join(sliced.withColumn(lead_, lead), ties_before, [*inner, lead_])
+        sliced = with_ordinal(sliced, [*inner, lead_], rest, inside, limit)
+        here = F.col(ahead) + F.col(inside)
     else:
         sliced = sliced.select("*", F.row_number().over(
-            Window.partitionBy(*inner).orderBy(*order_columns(order))).cast("long").alias("_in"))
-        here = F.col("_in")
+            Window.partitionBy(*inner).orderBy(*order_columns(order))).cast("long").alias(inside))
+        here = F.col(inside)
     return null_safe_join(sliced, earlier, inner).select(
-        *df.columns, (F.col("_before") + here).cast("long").alias(name))
+        *df.columns, (F.col(before) + here).cast("long").alias(name))
 
 
 def _as_number(df: DataFrame, col: str) -> Column:
