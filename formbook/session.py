@@ -61,6 +61,7 @@ def local_session(cores: int | str | None = None, shuffle_partitions: int = 8) -
         .appName("formbook")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in RUNTIME_CONF.items():
