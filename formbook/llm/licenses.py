@@ -258,13 +258,13 @@ WITH w AS (
   FROM documents),
 p AS (SELECT k, words, unnest(range(1, len(words) + 1)) AS i FROM w),
 hit AS (
-  SELECT k, i - 1 AS at, CASE
+  SELECT k, i - 1 AS place, CASE
     WHEN words[i] = 'under' AND words[i + 1] = 'the' AND words[i + 2] = 'mit' AND words[i + 3] = 'license' THEN 'mit'
     WHEN words[i] = 'apache' AND words[i + 1] = 'license' AND words[i + 2] = 'version' AND words[i + 3] = '2' THEN 'apache-2'
     WHEN words[i] = 'cc' AND words[i + 1] = 'by' AND words[i + 2] = 'nc' THEN 'cc-by-nc' END AS label
   FROM p WHERE words[i] IN ('under', 'apache', 'cc'))
-SELECT w.doc_id, any_value(len(words))::BIGINT AS n_words, count(label)::BIGINT AS n_base, min(at) FILTER (label IS NOT NULL) AS first_word,
-       max(at) FILTER (label IS NOT NULL) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+SELECT w.doc_id, any_value(len(words))::BIGINT AS n_words, count(label)::BIGINT AS n_base, min(place) FILTER (label IS NOT NULL) AS first_word,
+       max(place) FILTER (label IS NOT NULL) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
 FROM w LEFT JOIN hit USING (k) GROUP BY w.k, w.doc_id
 """
 
