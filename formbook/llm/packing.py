@@ -181,7 +181,9 @@ def make_plan(counts: Mapping[int, int], window: int = WINDOW, classes: int = CL
         if at < len(gaps):
             gap, first, room = gaps.pop(at)
         elif allowed > 0 or not gaps or gaps[-1][0] < min_cut:
-            room = min(count, allowed) if allowed > 0 else count
+            if allowed <= 0:  # only gaps too small to cut for are left
+                allowed = -(-size * count // window)
+            room = min(count, allowed)
             allowed -= room
             gap, first = window, build.open(room)
         else:
