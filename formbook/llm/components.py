@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(_small_star(_large_star(now)), "edges")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == sign:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
         sign = new
     raise RuntimeError("components did not settle")
