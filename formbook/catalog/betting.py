@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formbook.catalog.features_horse import KEY, dbls, ints, pick
+from formbook.catalog.features_entrant import KEY, dbls, ints, pick
 from formbook.catalog.registry import WITH_RUNNERS, i64, query, r6, runner_skew, runner_table
 from formbook.operators import betting as B
 from formbook.operators import grid as G
@@ -22,7 +22,7 @@ DEMAND = "0.05 * sqrt(greatest(odds, 1.0) / 3.0)"
 
 
 @query("value_bets", "B1 F5 P40 P29", f"""{WITH_PREDS}, v as (select *, model_prob - 1.0 / odds as edge from preds)
-select race_id, horse_id, {dbls(value_edge='edge', value_demand=DEMAND, value_clv='model_prob * odds',
+select race_id, entrant_id, {dbls(value_edge='edge', value_demand=DEMAND, value_clv='model_prob * odds',
   stake_share='greatest(0, ((odds - 1) * model_prob - (1 - model_prob)) / (odds - 1)) * 0.25')},
   case when odds - 1 < 0.585 then '1/2' when odds - 1 < 0.735 then '4/6' when odds - 1 < 0.9 then '4/5'
    when odds - 1 <= 1.25 then 'EVS' when odds - 1 <= 1.75 then '6/4' when odds - 1 <= 2.25 then '2/1'
@@ -69,7 +69,7 @@ def newton_sql(src: str, steps: int = B.NEWTON_STEPS) -> str:
 @query("place_probability_adjustment", "M23 M24 D2", f"""{WITH_PREDS}, {_TERMS}, {newton_sql('terms')},
 f as (select *, case when nn >= 8 then 3 when nn >= 5 then 2 else 0 end as k from adj),
 g as (select *, case when k > 0 then greatest(1 - pow(1 - model_prob, cast(nn as double) / k), model_prob) end as fb from f)
-select race_id, horse_id, {dbls(place_prob_adj='pp', place_prob_fallback=
+select race_id, entrant_id, {dbls(place_prob_adj='pp', place_prob_fallback=
   f'case when sum(fb) {BY_RACE} > 0 then least(greatest(fb * (k / sum(fb) {BY_RACE}), 0), 1) else 0 end')} from g""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
@@ -87,7 +87,7 @@ ev as (select *, case when live then po else 0 end as place_odds, case when live
 
 
 @query("each_way_columns", "B3 B4 B6 B7", f"""{WITH_PREDS}, {_TERMS}, adj_ as (select * from terms), {ew_sql('place_prob')}
-select race_id, horse_id, {ints(ew_eligible='elig', ew_places='paid', ew_value='live and ew_ev > 0',
+select race_id, entrant_id, {ints(ew_eligible='elig', ew_places='paid', ew_value='live and ew_ev > 0',
   place_value='live and place_ev > 0')},
   {dbls(ew_fraction='frac', place_odds='place_odds', place_edge='place_edge', place_ev='place_ev', ew_ev='ew_ev',
         ew_kelly='case when not live then 0 when kw <= 0 or kp <= 0 then greatest(kw, kp) * 0.5 * 0.25 '
@@ -100,18 +100,18 @@ def _(spark, sf):
 
 _EW_OK = f"elig and odds between 4 and 51 and place_edge > {DEMAND} and place_ev > 0"
 _BETS = f"""{WITH_PREDS}, {_TERMS}, {newton_sql('terms')}, adj_ as (select * from adj), {ew_sql('pp')},
-sel as (select *, row_number() over (partition by race_id order by model_prob desc, horse_id) as rk,
+sel as (select *, row_number() over (partition by race_id order by model_prob desc, entrant_id) as rk,
   max(model_prob) {BY_RACE} > min(model_prob) {BY_RACE} as told,
   cast(finish_position > 0 and finish_position <= paid as integer) as pl from ev),
 bets as (
-  select race_date, race_id, track, 'top_pick' as strategy, horse_id, model_prob, odds, won, cast(null as integer) as placed,
+  select race_date, race_id, track, 'top_pick' as strategy, entrant_id, model_prob, odds, won, cast(null as integer) as placed,
     1.0 as stake, case when won = 1 then odds - 1 else -1.0 end as pnl, model_prob * odds as clv
   from sel where rk = 1 and told
   union all
-  select race_date, race_id, track, 'value', horse_id, model_prob, odds, won, null, 1.0,
+  select race_date, race_id, track, 'value', entrant_id, model_prob, odds, won, null, 1.0,
     case when won = 1 then odds - 1 else -1.0 end, model_prob * odds from sel where model_prob - 1 / odds > {DEMAND}
   union all
-  select race_date, race_id, track, 'each_way', horse_id, model_prob, odds, won, greatest(pl, won), 2.0,
+  select race_date, race_id, track, 'each_way', entrant_id, model_prob, odds, won, greatest(pl, won), 2.0,
     case when won = 1 then odds + place_odds when pl = 1 then place_odds else 0 end - 2.0, model_prob * odds
   from sel where {_EW_OK})"""
 
@@ -120,10 +120,10 @@ def bets(spark, sf):
     return B.bet_table(predictions(spark, sf), 0.05, skew=runner_skew(spark, sf))
 
 
-@query("bet_table", "B9 B2 B5 B8 F6 W16", f"""{_BETS} select race_date, race_id, strategy, horse_id,
+@query("bet_table", "B9 B2 B5 B8 F6 W16", f"""{_BETS} select race_date, race_id, strategy, entrant_id,
   {ints(won='won', placed='placed')}, {dbls(stake='stake', pnl='pnl', clv='clv')} from bets""")
 def _(spark, sf):
-    return pick(bets(spark, sf), "won placed", "stake pnl clv", ["race_date", "race_id", "strategy", "horse_id"])
+    return pick(bets(spark, sf), "won placed", "stake pnl clv", ["race_date", "race_id", "strategy", "entrant_id"])
 
 
 @query("walk_forward_bets", "B10 Q12", f"""{WITH_PREDS}, m as (select *, 1 / odds / sum(1 / odds) {BY_RACE} as mkt from preds)
@@ -136,12 +136,12 @@ def _(spark, sf):
         i64(F.count(F.lit(1)), "bets"), i64(F.sum("won"), "winners"), r6(F.sum("pnl"), "pnl"))
 
 
-_BO = "partition by strategy order by race_date, race_id, horse_id rows unbounded preceding"
+_BO = "partition by strategy order by race_date, race_id, entrant_id rows unbounded preceding"
 _CURVE = f"""{_BETS}, c as (select *, sum(pnl) over ({_BO}) as cum, sum(stake) over ({_BO}) as st, count(*) over ({_BO}) as nb
   from bets), d as (select *, max(cum) over ({_BO}) as peak from c)"""
 
 
-@query("pnl_curves", "W18", f"""{_CURVE} select strategy, race_id, horse_id, {ints(bet_number='nb')},
+@query("pnl_curves", "W18", f"""{_CURVE} select strategy, race_id, entrant_id, {ints(bet_number='nb')},
   {dbls(cum_pnl='cum', cum_staked='st', cum_roi_pct='cum / st * 100', drawdown='peak - cum')} from d""")
 def _(spark, sf):
     df = B.with_curves(bets(spark, sf), skew=runner_skew(spark, sf))
@@ -164,10 +164,10 @@ def _(spark, sf):
 @query("value_bet_quality", "A3", f"""{WITH_PREDS} select {ints(bets='count(*)')},
   {dbls(avg_edge='avg(model_prob - 1 / odds)', avg_clv='avg(model_prob * odds)',
         expected_roi='avg(model_prob * odds - 1) * 100', selected_brier='avg((model_prob - won) * (model_prob - won))',
-        selected_log_loss='avg(-(won * ln(model_prob) + (1 - won) * ln(1 - model_prob)))')}
-from preds where model_prob < 1 and model_prob - 1 / odds > {DEMAND}""")
+        selected_log_loss='avg(-(won * ln(m) + (1 - won) * ln(1 - m)))')}
+from (select *, least(greatest(model_prob, 1e-15), 1 - 1e-15) as m from preds) where model_prob - 1 / odds > {DEMAND}""")
 def _(spark, sf):
-    df = B.value_quality(predictions(spark, sf).where("model_prob < 1"), 0.05)
+    df = B.value_quality(predictions(spark, sf), 0.05)
     return pick(df, "bets", "avg_edge avg_clv expected_roi selected_brier selected_log_loss", [])
 
 
@@ -248,11 +248,11 @@ def _(spark, sf):
 
 
 @query("strategy_grid_drawdown", "B15 W18", f"""{_PRE}, {_AXES}, p as (select value_threshold, min_odds, max_odds,
-  race_date, race_id, horse_id, vp from (select distinct value_threshold, min_odds, max_odds from axes) join pre_
+  race_date, race_id, entrant_id, vp from (select distinct value_threshold, min_odds, max_odds from axes) join pre_
   on ne > value_threshold and odds >= min_odds and odds <= max_odds),
-c as (select *, sum(vp) over (partition by value_threshold, min_odds, max_odds order by race_date, race_id, horse_id
+c as (select *, sum(vp) over (partition by value_threshold, min_odds, max_odds order by race_date, race_id, entrant_id
   rows unbounded preceding) as cum from p),
-d as (select *, max(cum) over (partition by value_threshold, min_odds, max_odds order by race_date, race_id, horse_id
+d as (select *, max(cum) over (partition by value_threshold, min_odds, max_odds order by race_date, race_id, entrant_id
   rows unbounded preceding) - cum as dd from c)
 select value_threshold, min_odds, max_odds, {dbls(value_max_dd='max(dd)')} from d group by 1, 2, 3""")
 def _(spark, sf):
@@ -267,10 +267,10 @@ _SMALL = {"value_threshold": [0.05, 0.10], "min_place_edge": [0.05], "min_odds":
 
 @query("strategy_grid_kelly", "B11 B13 D2", f"""{_PRE}, ax as (select * from {axis('value_threshold', [.05, .1])}
   cross join {axis('min_odds', [2, 5])} cross join {axis('kelly_fraction', [.1, .25])}),
-b as (select ax.*, race_date, race_id, horse_id, odds, won, greatest(0, ((odds - 1) * model_prob - (1 - model_prob))
+b as (select ax.*, race_date, race_id, entrant_id, odds, won, greatest(0, ((odds - 1) * model_prob - (1 - model_prob))
   / (odds - 1) * kelly_fraction) as k from ax join pre_ on ne > value_threshold and odds >= min_odds and odds <= 21),
 l as (select value_threshold, min_odds, kelly_fraction, list({{'bank': 100.0::double, 'n': 0, 'k': k, 'o': odds, 'w': won,
-    'dummy': 0}} order by race_date, race_id, horse_id) as xs from b where k > 0 group by 1, 2, 3),
+    'dummy': 0}} order by race_date, race_id, entrant_id) as xs from b where k > 0 group by 1, 2, 3),
 f as (select *, list_reduce(xs, lambda s, x: {{'bank': s.bank + case when s.bank <= 0 or
     least(round(x.k * s.bank, 4), s.bank, 50.0) < 0.01 then 0 when x.w = 1 then
     least(round(x.k * s.bank, 4), s.bank, 50.0) * (x.o - 1) else -least(round(x.k * s.bank, 4), s.bank, 50.0) end,

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formbook.catalog.features_horse import pick
+from formbook.catalog.features_entrant import pick
 from formbook.catalog.registry import query, runner_skew, runner_table
 from formbook.features.build import engineer_features, live_features, strip_outcomes
 from formbook.sources.dimensions import load_speed_metrics, load_venues, load_weather
 
-SHOWN = ("horse_win_rate_shrunk jockey_wr_30d trainer_te_norm_pos speed_fig_avg_5 sire_win_rate_shrunk "
-         "horse_te_ewma connections_relative_score draw_pct weather_temp_range sm_speed_score")
+SHOWN = ("entrant_win_rate_shrunk jockey_wr_30d trainer_te_norm_pos speed_fig_avg_5 sire_win_rate_shrunk "
+         "entrant_te_ewma connections_relative_score draw_pct weather_temp_range sm_speed_score")
 
 
 def _options(spark, sf):
     base = runner_table(spark, sf)
     m = load_speed_metrics(base)
-    m = m.select("race_id", "horse_id", *[F.col(c).alias(f"sm_{c}") for c in m.columns if c not in ("race_id", "horse_id")])
+    m = m.select("race_id", "entrant_id", *[F.col(c).alias(f"sm_{c}") for c in m.columns if c not in ("race_id", "entrant_id")])
     return {"skew": runner_skew(spark, sf), "venues": load_venues(spark, sf), "weather": load_weather(spark, sf),
             "speed_metrics": m, "skip_ratings": True, "speed_medians": {}}
 
@@ -35,4 +35,4 @@ def _(spark, sf):
     history = marked.where("race_date < d").drop("d")
     cards = strip_outcomes(marked.where("race_date = d").drop("d"))
     out = live_features(history, cards, skew=runner_skew(spark, sf), skip_ratings=True, speed_medians={})
-    return pick(out, "", "horse_win_rate_shrunk jockey_wr_30d trainer_te_norm_pos speed_fig_avg_5 horse_te_ewma")
+    return pick(out, "", "entrant_win_rate_shrunk jockey_wr_30d trainer_te_norm_pos speed_fig_avg_5 entrant_te_ewma")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from formbook.catalog.betting import _BETS, _PRE, BY_RACE, PATH_KEYS_SQL, WITH_PREDS, bets, predictions
-from formbook.catalog.features_horse import KEY, dbls, ints, pick
+from formbook.catalog.features_entrant import KEY, dbls, ints, pick
 from formbook.catalog.parsing import BOOK_SQL, order_books
 from formbook.catalog.registry import WITH_RUNNERS, i64, query, r6, runner_skew, runner_table
 from formbook.features import race as R
@@ -17,6 +17,7 @@ from formbook.operators import grid as G
 from formbook.operators import joins as J
 from formbook.operators import metrics as M
 from formbook.operators import tables as T
+from formbook.plans.within import with_totals
 from formbook.session import checkpoint_root
 from formbook.sources import nested as N
 from formbook.sources.runners import table
@@ -29,7 +30,7 @@ def day(text: str):
 # ---- tables --------------------------------------------------------------------
 
 
-@query("lookback_scan", "S2 S9 S10 T1", f"""{WITH_RUNNERS} select race_id, horse_id, race_date from runners
+@query("lookback_scan", "S2 S9 S10 T1", f"""{WITH_RUNNERS} select race_id, entrant_id, race_date from runners
 where race_date >= date '2001-01-01' - 90""")
 def _(spark, sf):
     path = f"{checkpoint_root(spark)}/partitioned-{uuid.uuid4().hex}"
@@ -41,13 +42,13 @@ def _(spark, sf):
 
 @query("idempotent_insert", "S3 S4 X2 J10 T5", f"""{WITH_RUNNERS}, batch as (select * from runners where race_date >= date
   '1999-01-01'), done as (select race_id from batch group by 1 having max(finish_position) > 0)
-select race_id, horse_id, {ints(finish_position='finish_position')} from batch
+select race_id, entrant_id, {ints(finish_position='finish_position')} from batch
 where race_id in (select race_id from done) and race_date >= date '2000-01-01'""")
 def _(spark, sf):
     df = runner_table(spark, sf)
     batch = df.where(F.col("race_date") >= day("1999-01-01"))
     stored = df.where(F.col("race_date") < day("2000-01-01"))
-    return T.new_rows(batch.unionByName(batch.where("horse_id % 3 = 0")), stored).select(*KEY, i64("finish_position"))
+    return T.new_rows(batch.unionByName(batch.where("entrant_id % 3 = 0")), stored).select(*KEY, i64("finish_position"))
 
 
 @query("missing_days", "S5 S6 S7 X2", f"""{WITH_RUNNERS}, k as (select distinct race_date from runners where track = 'NATION_3'),
@@ -85,13 +86,13 @@ def _(spark, sf):
     return df.select("column", r6("missing_pct"))
 
 
-@query("cheapest_price_merge", "S16 X1 T5 S20", f"""{WITH_PREDS}, u as (select race_id, horse_id, bsp as price from preds
-  union all select race_id, horse_id, price_300s from preds where horse_id % 2 = 0)
-select race_id, horse_id, {dbls(price='min(price)')} from u group by 1, 2""")
+@query("cheapest_price_merge", "S16 X1 T5 S20", f"""{WITH_PREDS}, u as (select race_id, entrant_id, bsp as price from preds
+  union all select race_id, entrant_id, price_300s from preds where entrant_id % 2 = 0)
+select race_id, entrant_id, {dbls(price='min(price)')} from u group by 1, 2""")
 def _(spark, sf):
     p = predictions(spark, sf)
     a = p.select(*KEY, F.col("bsp").alias("price"))
-    b = p.where("horse_id % 2 = 0").select(*KEY, F.col("price_300s").alias("price"), F.lit("late").alias("source"))
+    b = p.where("entrant_id % 2 = 0").select(*KEY, F.col("price_300s").alias("price"), F.lit("late").alias("source"))
     return pick(T.merge_cheapest(a, b, KEY, "price"), "", "price")
 
 
@@ -105,14 +106,14 @@ def cards(spark, sf, source: str):
     mm = F.lpad((F.col("off_minute") % 60).cast("string"), 2, "0")
     if source == "a":
         return df.withColumn("off_time", F.concat(hh, F.lit(":"), mm))
-    keep = df.where((F.col("horse_id") + F.col("race_id")) % 4 != 0)
+    keep = df.where((F.col("entrant_id") + F.col("race_id")) % 4 != 0)
     return keep.select("race_id", "race_date", F.concat(F.lit(" "), F.upper("track")).alias("track"),
-                       F.concat(hh, mm).alias("off_time"), F.upper("horse_name").alias("horse_name"), "bsp", "won")
+                       F.concat(hh, mm).alias("off_time"), F.upper("entrant_name").alias("entrant_name"), "bsp", "won")
 
 
-@query("exchange_prices_attached", "J3 J2 P20 P21", f"""{WITH_PREDS} select race_id, horse_id,
-  {dbls(bsp_attached='case when (horse_id + race_id) % 4 <> 0 then bsp end')},
-  {ints(matched='(horse_id + race_id) % 4 <> 0')} from preds""")
+@query("exchange_prices_attached", "J3 J2 P20 P21", f"""{WITH_PREDS} select race_id, entrant_id,
+  {dbls(bsp_attached='case when (entrant_id + race_id) % 4 <> 0 then bsp end')},
+  {ints(matched='(entrant_id + race_id) % 4 <> 0')} from preds""")
 def _(spark, sf):
     right = cards(spark, sf, "b").withColumnRenamed("bsp", "bsp_attached")
     doubled = right.unionByName(right.where("race_id % 2 = 0").withColumn("bsp_attached", F.lit(None).cast("double")))
@@ -121,25 +122,25 @@ def _(spark, sf):
     return pick(df, "matched", "bsp_attached")
 
 
-@query("pedigree_filled", "J1", f"""{WITH_RUNNERS} select race_id, horse_id, case when race_id % 3 = 0 and horse_id % 2 = 1
+@query("pedigree_filled", "J1", f"""{WITH_RUNNERS} select race_id, entrant_id, case when race_id % 3 = 0 and entrant_id % 2 = 1
   then null else sire end as sire, dam from runners""")
 def _(spark, sf):
     df = runner_table(spark, sf)
     blank = df.withColumn("sire", F.when(F.col("race_id") % 3 == 0, " ").otherwise(F.col("sire")))
-    ped = df.where("horse_id % 2 = 0").select("horse_id", "sire", "dam", "damsire").distinct()
+    ped = df.where("entrant_id % 2 = 0").select("entrant_id", "sire", "dam", "damsire").distinct()
     return J.fill_pedigree(blank, ped).select(*KEY, "sire", "dam")
 
 
-@query("weather_refresh", "J6", f"""{WITH_RUNNERS} select race_id, horse_id,
-  {dbls(weight_lbs='case when horse_id % 5 = 0 and race_id % 2 = 1 then null else weight_lbs end')},
-  {ints(was_filled='horse_id % 5 = 0 and race_id % 2 = 0')} from runners""")
+@query("weather_refresh", "J6", f"""{WITH_RUNNERS} select race_id, entrant_id,
+  {dbls(weight_lbs='case when entrant_id % 5 = 0 and race_id % 2 = 1 then null else weight_lbs end')},
+  {ints(was_filled='entrant_id % 5 = 0 and race_id % 2 = 0')} from runners""")
 def _(spark, sf):
     df = runner_table(spark, sf).select(*KEY, "weight_lbs")
-    holes = df.withColumn("weight_lbs", F.when(F.col("horse_id") % 5 != 0, F.col("weight_lbs")))
+    holes = df.withColumn("weight_lbs", F.when(F.col("entrant_id") % 5 != 0, F.col("weight_lbs")))
     return pick(J.fill_missing(holes, df.where("race_id % 2 = 0"), KEY, ["weight_lbs"]), "was_filled", "weight_lbs")
 
 
-_REASON = """case when (horse_id + race_id) % 4 = 0 then 'no_key_match' when horse_id % 9 = 0 then
+_REASON = """case when (entrant_id + race_id) % 4 = 0 then 'no_key_match' when entrant_id % 9 = 0 then
   'key_match_but_no_metrics' else 'key_match' end"""
 
 
@@ -149,8 +150,8 @@ from k group by 1, 2""")
 def _(spark, sf):
     from formbook.plans.within import with_totals
     df = runner_table(spark, sf)
-    cache = df.where("(horse_id + race_id) % 4 <> 0").select(
-        *KEY, F.when(F.col("horse_id") % 9 != 0, F.col("odds")).alias("m1"), F.lit(None).cast("double").alias("m2"))
+    cache = df.where("(entrant_id + race_id) % 4 <> 0").select(
+        *KEY, F.when(F.col("entrant_id") % 9 != 0, F.col("odds")).alias("m1"), F.lit(None).cast("double").alias("m2"))
     out = J.coverage_reasons(df, cache, KEY, ["m1", "m2"]).groupBy("race_type", "reason").agg(
         F.count(F.lit(1)).alias("rows"))
     out = with_totals(out, ["race_type"], {"_t": F.sum("rows")})
@@ -171,48 +172,48 @@ def _(spark, sf):
                              ["race_date", "track", "race_id"], ["race_date", "track"])
 
 
-@query("pending_lookups", "J21 T2", f"""{WITH_RUNNERS} select horse_id, max(race_date) as last_seen from runners
-where horse_id % 3 <> 0 group by 1""")
+@query("pending_lookups", "J21 T2", f"""{WITH_RUNNERS} select entrant_id, max(race_date) as last_seen from runners
+where entrant_id % 3 <> 0 group by 1""")
 def _(spark, sf):
     df = runner_table(spark, sf)
-    return J.pending_entities(df, df.where("horse_id % 3 = 0").select("horse_id").distinct(), "horse_id", "race_date")
+    return J.pending_entities(df, df.where("entrant_id % 3 = 0").select("entrant_id").distinct(), "entrant_id", "race_date")
 
 
 @query("occurrence_alignment", "J20", f"""{WITH_RUNNERS}, a as (select *, row_number() over (partition by jockey, race_date
-  order by race_id, horse_id) as n from runners), b as (select * from a where true)
-select a.race_id, a.horse_id, {dbls(other='b.odds')} from a left join (select jockey, race_date, odds, row_number() over (
-  partition by jockey, race_date order by race_id desc, horse_id desc) as n from runners) b using (jockey, race_date, n)""")
+  order by race_id, entrant_id) as n from runners), b as (select * from a where true)
+select a.race_id, a.entrant_id, {dbls(other='b.odds')} from a left join (select jockey, race_date, odds, row_number() over (
+  partition by jockey, race_date order by race_id desc, entrant_id desc) as n from runners) b using (jockey, race_date, n)""")
 def _(spark, sf):
     df = runner_table(spark, sf).select(*KEY, "jockey", "race_date", "odds")
-    right = df.select("jockey", "race_date", (-F.col("race_id")).alias("r"), (-F.col("horse_id")).alias("h"),
+    right = df.select("jockey", "race_date", (-F.col("race_id")).alias("r"), (-F.col("entrant_id")).alias("h"),
                       F.col("odds").alias("other"))
     out = J.align_occurrences(df, right, ["jockey", "race_date"], KEY, ["r", "h"], ["other"], runner_skew(spark, sf))
     return pick(out, "", "other")
 
 
-@query("card_refresh_and_settlement", "J23 J24 J10 A14", f"""{WITH_PREDS}, c as (select * from preds where horse_id % 10 <> 0),
-r_ as (select * from runners where race_id % 4 <> 0 and horse_id % 7 <> 0),
+@query("card_refresh_and_settlement", "J23 J24 J10 A14", f"""{WITH_PREDS}, c as (select * from preds where entrant_id % 10 <> 0),
+r_ as (select * from runners where race_id % 4 <> 0 and entrant_id % 7 <> 0),
 d as (select race_id from r_ group by 1 having max(finish_position) > 0),
-j as (select c.race_id, c.horse_id, case when c.race_id % 2 = 0 then c.odds + 1 else c.odds end as o, r_.finish_position as fp,
-  r_.won as w, d.race_id is not null as has from c left join r_ on c.race_id = r_.race_id and c.horse_id = r_.horse_id
+j as (select c.race_id, c.entrant_id, case when c.race_id % 2 = 0 then c.odds + 1 else c.odds end as o, r_.finish_position as fp,
+  r_.won as w, d.race_id is not null as has from c left join r_ on c.race_id = r_.race_id and c.entrant_id = r_.entrant_id
   left join d on c.race_id = d.race_id)
-select race_id, horse_id, {dbls(odds='o')}, {ints(settled='has and fp is not null', non_runner='has and fp is null',
+select race_id, entrant_id, {dbls(odds='o')}, {ints(settled='has and fp is not null', non_runner='has and fp is null',
   result_won='case when has and fp is not null then w end')} from j""")
 def _(spark, sf):
     p = predictions(spark, sf)
-    card = p.where("horse_id % 10 <> 0").select(*KEY, F.when(F.col("race_id") % 2 == 0, F.col("odds") + 1).alias("odds"))
-    results = runner_table(spark, sf).where("race_id % 4 <> 0 and horse_id % 7 <> 0")
+    card = p.where("entrant_id % 10 <> 0").select(*KEY, F.when(F.col("race_id") % 2 == 0, F.col("odds") + 1).alias("odds"))
+    results = runner_table(spark, sf).where("race_id % 4 <> 0 and entrant_id % 7 <> 0")
     df = J.settle_predictions(J.refresh_card(p.select(*KEY, "odds", "model_prob"), card), results)
     return pick(df, "settled non_runner result_won", "odds")
 
 
 @query("shortcoming_slices", "A7 J13 F9", f"""{WITH_PREDS}, l as (select race_id, model_prob as p, won as y,
-  unnest(['going', 'race_type', 'lost']) as dimension, unnest([going, race_type, case when horse_id % 2 = 0 then 'even' end])
+  unnest(['going', 'race_type', 'lost']) as dimension, unnest([going, race_type, case when entrant_id % 2 = 0 then 'even' end])
   as v from preds)
 select dimension, coalesce(v, 'Unknown') as value, {ints(rows='count(*)', races='count(distinct race_id)', winners='sum(y)')},
   {dbls(win_rate='avg(y)', brier='avg((p - y) * (p - y))')} from l group by 1, 2""")
 def _(spark, sf):
-    df = predictions(spark, sf).withColumn("lost", F.when(F.col("horse_id") % 2 == 0, "even"))
+    df = predictions(spark, sf).withColumn("lost", F.when(F.col("entrant_id") % 2 == 0, "even"))
     return pick(D.slice_summary(df, ["going", "race_type", "lost"]), "rows races winners", "win_rate brier",
                 ["dimension", "value"])
 
@@ -259,17 +260,17 @@ def _(spark, sf):
 
 
 @query("worst_disagreements", "T2 B20", f"""{_DIS}, z as (select *, round(disagree, 9) as dg from x),
-o as (select 'over' as kind, race_id, horse_id, dg from z where dg > 0 and won = 0 order by dg desc, race_id, horse_id limit 15),
-u as (select 'under' as kind, race_id, horse_id, dg from z where dg < 0 and won = 1 order by dg, race_id, horse_id limit 15)
-select kind, race_id, horse_id, {dbls(disagree='dg')} from (select * from o union all select * from u)""")
+o as (select 'over' as kind, race_id, entrant_id, dg from z where dg > 0 and won = 0 order by dg desc, race_id, entrant_id limit 15),
+u as (select 'under' as kind, race_id, entrant_id, dg from z where dg < 0 and won = 1 order by dg, race_id, entrant_id limit 15)
+select kind, race_id, entrant_id, {dbls(disagree='dg')} from (select * from o union all select * from u)""")
 def _(spark, sf):
     df = D.worst_disagreements(disagreement(spark, sf).withColumn("disagree", F.round("disagree", 9)))
     return pick(df, "", "disagree", ["kind", *KEY])
 
 
 @query("top_pick_against_favourite", "J18 W16", f"""{_DIS}, p as (select race_id,
-  arg_max({{'h': horse_id, 'w': won}}, {{'p': round(model_prob, 9), 'h': -horse_id}}) as m,
-  arg_max({{'h': horse_id, 'w': won}}, {{'p': round(market_prob, 9), 'h': -horse_id}}) as k from x group by 1)
+  arg_max({{'h': entrant_id, 'w': won}}, {{'p': round(model_prob, 9), 'h': -entrant_id}}) as m,
+  arg_max({{'h': entrant_id, 'w': won}}, {{'p': round(market_prob, 9), 'h': -entrant_id}}) as k from x group by 1)
 select {ints(races='count(*)', agree='sum(cast(m.h = k.h as integer))')},
   {dbls(model_pick_wins='avg(case when m.h <> k.h then m.w end)', favourite_wins='avg(case when m.h <> k.h then k.w end)',
         agreed_pick_wins='avg(case when m.h = k.h then m.w end)')} from p""")
@@ -290,7 +291,7 @@ def _(spark, sf):
 
 # ---- exchange ------------------------------------------------------------------
 
-_BSP_BETS = f"""{_BETS}, eb as (select b.*, p.bsp, p.price_300s from bets b join preds p using (race_id, horse_id)
+_BSP_BETS = f"""{_BETS}, eb as (select b.*, p.bsp, p.price_300s from bets b join preds p using (race_id, entrant_id)
   where p.bsp is not null)"""
 
 
@@ -319,7 +320,7 @@ _PNL_EX = "case when won = 1 then (bsp - 1) * 0.98 else -1.0 end"
 
 
 @query("no_skill_baselines", "B17", f"""{WITH_PREDS}, f as (select * from preds where bsp is not null),
-s as (select race_id, arg_min({_PNL_EX}, {{'b': bsp, 'h': horse_id}}) as p from f group by 1)
+s as (select race_id, arg_min({_PNL_EX}, {{'b': bsp, 'h': entrant_id}}) as p from f group by 1)
 select 'every_runner' as baseline, {ints(n='count(*)')}, {dbls(roi=f'avg({_PNL_EX})')} from f
 union all select 'favourite', {ints(n='count(*)')}, {dbls(roi='avg(p)')} from s""")
 def _(spark, sf):
@@ -339,13 +340,13 @@ def _(spark, sf):
 
 @query("bootstrap_interval", "A21 B16")
 def _(spark, sf):
-    df = bets(spark, sf).withColumn("_key", F.concat_ws("|", "race_id", "horse_id"))
+    df = bets(spark, sf).withColumn("_key", F.concat_ws("|", "race_id", "entrant_id"))
     return pick(D.bootstrap_interval(df, "pnl", "_key", ["strategy"], 400), "", "low high", ["strategy"])
 
 
 @query("source_validation", "J22 X3 A18", f"""{WITH_PREDS}, b as (select * from preds where race_id % 3 <> 0
-  and horse_id % 8 <> 0 and bsp is not null), s as (select * from preds where race_id in (select race_id from b)),
-m as (select s.odds, b.bsp as p, b.race_id is not null as hit from s left join b using (race_id, horse_id)),
+  and entrant_id % 8 <> 0 and bsp is not null), s as (select * from preds where race_id in (select race_id from b)),
+m as (select s.odds, b.bsp as p, b.race_id is not null as hit from s left join b using (race_id, entrant_id)),
 k as (select odds, p, rank() over (order by odds) + (count(*) over (partition by odds) - 1) / 2.0 as ra,
   rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rb from m where hit)
 select {dbls(match_rate='(select avg(cast(hit as integer)) from m)', outcome_agreement='1.0',
@@ -353,7 +354,7 @@ select {dbls(match_rate='(select avg(cast(hit as integer)) from m)', outcome_agr
   rank_corr='(select corr(ra, rb) from k)')}""")
 def _(spark, sf):
     p = predictions(spark, sf)
-    b = p.where("race_id % 3 <> 0 and horse_id % 8 <> 0 and bsp is not null")
+    b = p.where("race_id % 3 <> 0 and entrant_id % 8 <> 0 and bsp is not null")
     return pick(D.source_agreement(p, b, KEY, "odds", "bsp"), "", "match_rate outcome_agreement median_a median_b "
                                                                   "rank_corr", [])
 
@@ -361,8 +362,7 @@ def _(spark, sf):
 # ---- signals and trades --------------------------------------------------------
 
 _SIG = f"""with {BOOK_SQL}, a as (select *, coalesce(best_back_odds, best_lay_odds) as an from book),
-p as (select *, case when an > 1 then 1 / an else 0.01 end * (1.0 + (cast('0x' || sha1(horse_name)[1:8] as bigint) % 2001
-  - 1000) / 20000.0) as r_ from a),
+p as (select *, case when an > 1 then 1 / an else 0.01 end as r_ from a),
 w as (select *, r_ / sum(r_) over (partition by event_id) as wp from p),
 s as (select *, coalesce(wp - 1 / best_back_odds >= 0.02 and best_back_available >= 10, false) as bk,
   coalesce(1 / best_lay_odds - wp >= 0.02 and best_lay_available >= 10, false) as ly from w)"""
@@ -370,30 +370,33 @@ s as (select *, coalesce(wp - 1 / best_back_odds >= 0.02 and best_back_available
 
 def signals(spark, sf):
     book = N.flatten_order_book(order_books(spark, sf)).select(
-        "event_id", "horse_name", "best_back_odds", "best_back_available", "best_lay_odds", "best_lay_available")
-    return D.price_signals(D.pseudo_predictions(book))
+        "event_id", "entrant_name", "best_back_odds", "best_back_available", "best_lay_odds", "best_lay_available")
+    # The given probability of a runner in the market: its price, less the market's overround.
+    anchor = F.coalesce("best_back_odds", "best_lay_odds")
+    given = with_totals(book.withColumn("_r", F.when(anchor > 1.0, 1.0 / anchor).otherwise(0.01)), ["event_id"], {"_t": F.sum("_r")})
+    return D.price_signals(given.withColumn("win_probability", F.col("_r") / F.col("_t")).drop("_r", "_t"))
 
 
-@query("price_signals", "B21 B24 J15", f"""{_SIG} select event_id, horse_name, {dbls(win_probability='wp', fair_odds=
+@query("price_signals", "B21 J15", f"""{_SIG} select event_id, entrant_name, {dbls(win_probability='wp', fair_odds=
   '1 / greatest(wp, 1e-9)', spread='best_lay_odds / best_back_odds - 1')},
   case when bk and ly then 'BACK / LAY' when bk then 'BACK' when ly then 'LAY' else '' end as signal from s""")
 def _(spark, sf):
-    return signals(spark, sf).select("event_id", "horse_name", r6("win_probability"), r6("fair_odds"), r6("spread"), "signal")
+    return signals(spark, sf).select("event_id", "entrant_name", r6("win_probability"), r6("fair_odds"), r6("spread"), "signal")
 
 
-@query("paper_trades_settled", "B22 B23 J14 S20 U6", f"""{_SIG}, t as (select event_id, horse_name, 'BACK' as side,
-    best_back_odds as eo from s where bk union all select event_id, horse_name, 'LAY', best_lay_odds from s where ly),
-n as (select t.*, cast(replace(horse_name, 'Horse ', '') as bigint) % 4 as w, event_id % 3 <> 0 as has from t)
-select event_id, horse_name, side, case when has then 'SETTLED' else 'OPEN' end as status,
+@query("paper_trades_settled", "B22 B23 J14 S20 U6", f"""{_SIG}, t as (select event_id, entrant_name, 'BACK' as side,
+    best_back_odds as eo from s where bk union all select event_id, entrant_name, 'LAY', best_lay_odds from s where ly),
+n as (select t.*, cast(replace(entrant_name, 'Entrant ', '') as bigint) % 4 as w, event_id % 3 <> 0 as has from t)
+select event_id, entrant_name, side, case when has then 'SETTLED' else 'OPEN' end as status,
   {dbls(pnl="case when has then (case when w = 0 then eo - 1 else -1 end) * (case when side = 'BACK' then 1 else -1 end) end")}
 from n""")
 def _(spark, sf):
     trades = D.trades_from_signals(signals(spark, sf))
-    horse = F.regexp_extract("horse_name", r"(\d+)", 1).cast("long")
+    entrant = F.regexp_extract("entrant_name", r"(\d+)", 1).cast("long")
     results = signals(spark, sf).where("event_id % 3 <> 0").select(
-        "event_id", "horse_name", F.lit(1).alias("finish_position"), (horse % 4 == 0).cast("int").alias("won"))
-    df = D.settle_trades(trades, results, ["event_id", "horse_name"])
-    return df.select("event_id", "horse_name", "side", "status", r6("pnl"))
+        "event_id", "entrant_name", F.lit(1).alias("finish_position"), (entrant % 4 == 0).cast("int").alias("won"))
+    df = D.settle_trades(trades, results, ["event_id", "entrant_name"])
+    return df.select("event_id", "entrant_name", "side", "status", r6("pnl"))
 
 
 # ---- runs, races, pace ---------------------------------------------------------
@@ -417,7 +420,7 @@ def _(spark, sf):
 
 @query("race_headers", "A10 A15 A24", f"""{WITH_RUNNERS} select race_id, min(race_date) as race_date, any_value(track) as track,
   any_value(race_class) as race_class, {ints(off_minute='min(off_minute)', runners='count(*)')},
-  max(case when won = 1 then horse_name end) as winner from runners group by 1""")
+  max(case when won = 1 then entrant_name end) as winner from runners group by 1""")
 def _(spark, sf):
     df = D.race_headers(runner_table(spark, sf))
     return df.select("race_id", "race_date", "track", "race_class", i64("off_minute"), i64("runners"), "winner")
@@ -443,46 +446,49 @@ def _(spark, sf):
     from formbook.catalog.features_race import _with_metrics
     skew = runner_skew(spark, sf)
     df = R.add_pace_style_features(V.add_speed_metric_features(_with_metrics(spark, sf), skew), skew)
-    return D.pace_tags(df).join(D.pace_summary(df), "race_id").select(*KEY, "pace_tags", "summary")
+    return D.pace_roles(df).join(D.pace_shape(df), "race_id").select(
+        *KEY, i64("pace_role"), i64("n_pushers"), i64("n_closers"), i64("pace_state"))
 
 
 @query("metric_tables", "M16 M29 M30 M35 A17", f"""{WITH_PREDS}, b as (select 'model' as model, avg((model_prob - won) *
-  (model_prob - won)) as brier, avg(won * model_prob) as roi from preds union all select 'market', avg((1 / odds - won) *
+  (model_prob - won)) as brier_score, avg(won * model_prob) as roi from preds union all select 'market', avg((1 / odds - won) *
   (1 / odds - won)), avg(won / odds) from preds)
-select model, {dbls(brier='brier', roi='roi')} from b union all select 'market - model', {dbls(
-  brier="max(case when model = 'market' then brier end) - max(case when model = 'model' then brier end)",
+select model, {dbls(brier_score='brier_score', roi='roi')} from b union all select 'market - model', {dbls(
+  brier_score="max(case when model = 'market' then brier_score end) - max(case when model = 'model' then brier_score end)",
   roi="max(case when model = 'market' then roi end) - max(case when model = 'model' then roi end)")} from b""")
 def _(spark, sf):
     p = predictions(spark, sf)
     q = 1.0 / F.col("odds")
     nested = F.to_json(F.struct(*[F.struct(
-        F.struct(F.avg((c - F.col("won")) * (c - F.col("won"))).alias("brier"), F.avg(c * F.col("won")).alias("roi"))
+        F.struct(F.avg((c - F.col("won")) * (c - F.col("won"))).alias("brier_score"), F.avg(c * F.col("won")).alias("roi"))
         .alias("scores")).alias(n) for n, c in (("model", F.col("model_prob")), ("market", q))]))
     flat = M.flatten_metrics(p.agg(nested.alias("json")), "json", [])
     parts = F.split("name", r"\.")
     rows = flat.select(parts[0].alias("model"), parts[2].alias("name"), "value")
-    return pick(M.metric_snapshot(rows, ["brier", "roi"], "model", "market"), "", "brier roi", ["model"])
+    return pick(M.metric_snapshot(rows, ["brier_score", "roi"], "model", "market"), "", "brier_score roi", ["model"])
 
 
-@query("model_gap_tables", "M29 M30", f"""{WITH_PREDS}, l as (select year(race_date) as y, unnest(['brier', 'roi']) as name,
+@query("model_gap_tables", "M29 M30", f"""{WITH_PREDS}, l as (select year(race_date) as y, unnest(['brier_score', 'roi']) as name,
   unnest([(model_prob - won) * (model_prob - won), model_prob * won]) as v, unnest([(1 / odds - won) * (1 / odds - won),
   won / odds]) as k from preds),
 t as (select name, avg(v) filter (y < 1999) as oof, avg(v) filter (y >= 1999) as va, avg(v) as a, avg(k) as b from l group by 1)
 select name, {dbls(gap="case when name = 'roi' then oof - va else va - oof end",
   edge="case when name = 'roi' then a - b else b - a end")},
-  case when (case when name = 'roi' then a - b else b - a end) > 0 then 'left' else 'right' end as leader from t""")
+  case when (case when name = 'roi' then a - b else b - a end) > 0 then 'left' else 'right' end as leader,
+  case when g >= 0.15 then 'high' when g >= 0.08 then 'moderate' when g >= 0.03 then 'watch' else 'healthy' end as status
+from (select *, case when name = 'roi' then oof - va else va - oof end as g from t)""")
 def _(spark, sf):
     y, p = F.col("won"), F.col("model_prob")
     q = 1.0 / F.col("odds")
 
     def values(df, c):
-        return df.agg(F.avg((c - y) * (c - y)).alias("brier"), F.avg(c * y).alias("roi")).unpivot(
-            [], ["brier", "roi"], "name", "value")
+        return df.agg(F.avg((c - y) * (c - y)).alias("brier_score"), F.avg(c * y).alias("roi")).unpivot(
+            [], ["brier_score", "roi"], "name", "value")
 
     df = predictions(spark, sf)
     gap = M.generalisation_gap(values(df.where("year(race_date) < 1999"), p), values(df.where("year(race_date) >= 1999"), p))
     edge = M.model_tradeoff(values(df, p), values(df, q))
-    return gap.join(edge, "name").select("name", r6("gap"), r6("edge"), "leader")
+    return gap.join(edge, "name").select("name", r6("gap"), r6("edge"), "leader", "status")
 
 
 @query("metric_trend", "M30 W8", f"""{WITH_PREDS}, m as (select date_trunc('month', race_date)::date as run,

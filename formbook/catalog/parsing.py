@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formbook.catalog.features_horse import KEY, dbls, ints, pick
+from formbook.catalog.features_entrant import KEY, dbls, ints, pick
 from formbook.catalog.registry import WITH_RUNNERS, i64, query, r6, r6_sql, runner_skew, runner_table
 from formbook.features.flags import add_result_flags
 from formbook.functions import text as X
@@ -86,7 +86,7 @@ def _(spark, sf):
   from part),
 w as (select *, upper(n[1]) || split_part(n[2:], ' ', 1) as w1, upper(split_part(n, ' ', 2)[1]) || split_part(n, ' ', 2)[2:]
   as w2 from p)
-select k, w1 || '''' || w2 || '-On-' || w2 as title, 'J P ' || w2 as person, n as track_key, w1 || ' ' || w2 as horse_key,
+select k, w1 || '''' || w2 || '-On-' || w2 as title, 'J P ' || w2 as person, n as track_key, w1 || ' ' || w2 as entrant_key,
   lower(w1) || 's ' || lower(w2) as exchange_key, case when k % 5 = 0 then 'epsom' else n end as exchange_track,
   replace(n, ' ', '-') || '-' || replace(b, '#', '-') as slug, w1 || ' ' || w2 as bare, w1 as event_track from w""")
 def _(spark, sf):
@@ -97,11 +97,11 @@ def _(spark, sf):
         k.alias("k"), X.title_case(F.concat(F.lit(" "), F.upper(w1), F.lit("'"), w2, F.lit("-on-"), w2)).alias("title"),
         X.person_name(F.concat(F.lit("j.p. "), w2, F.lit(" "))).alias("person"),
         X.track_key(F.concat(F.lit(" "), F.upper(w1), F.lit("   "), w2)).alias("track_key"),
-        X.horse_key(F.concat(w1, F.lit("  "), F.upper(w2))).alias("horse_key"),
-        X.exchange_horse_key(F.concat(w1, F.lit("'s "), w2)).alias("exchange_key"),
+        X.entrant_key(F.concat(w1, F.lit("  "), F.upper(w2))).alias("entrant_key"),
+        X.exchange_entrant_key(F.concat(w1, F.lit("'s "), w2)).alias("exchange_key"),
         X.exchange_track_key(F.when(k % 5 == 0, "Epsom  Downs").otherwise(F.upper(n))).alias("exchange_track"),
         X.slug(F.concat(n, F.lit(" & "), F.col("p_brand"))).alias("slug"),
-        X.bare_horse_name(F.concat((k % 20).cast("string"), F.lit(". "), F.initcap(w1), F.lit(" "), F.initcap(w2),
+        X.bare_entrant_name(F.concat((k % 20).cast("string"), F.lit(". "), F.initcap(w1), F.lit(" "), F.initcap(w2),
                                    F.lit(" (IRE)"))).alias("bare"),
         X.track_from_event(F.concat(F.initcap(w1), (k % 28 + 1).cast("string"), F.lit("th Oct"))).alias("event_track"))
 
@@ -127,22 +127,22 @@ def _(spark, sf):
 # A raw race card: numbers as text, some of them broken.
 def raw_cards(spark, sf):
     df = runner_table(spark, sf)
-    h, r = F.col("horse_id"), F.col("race_id")
+    h, r = F.col("entrant_id"), F.col("race_id")
     return df.select(
         "race_id", F.when((h + r) % 97 == 0, "not a date").otherwise(F.col("race_date").cast("string")).alias("race_date"),
-        "horse_id", F.lower("horse_name").alias("horse_name"),
+        "entrant_id", F.lower("entrant_name").alias("entrant_name"),
         F.when((h + r) % 13 == 0, "n/a").otherwise(F.col("odds").cast("string")).alias("odds"),
         F.col("official_rating").cast("string").alias("official_rating"),
         F.col("finish_position").cast("string").alias("finish_position"),
         F.when(h % 19 == 0, None).otherwise(F.col("weight_lbs").cast("string")).alias("weight_lbs"))
 
 
-@query("clean_cards", "P1 P6 P14 P15 P16 F1", f"""{WITH_RUNNERS}, c as (select *, case when (horse_id + race_id) % 13 <> 0
-    then odds end as o, case when horse_id % 19 <> 0 then weight_lbs end as w from runners
-  where (horse_id + race_id) % 97 <> 0),
+@query("clean_cards", "P1 P6 P14 P15 P16 F1", f"""{WITH_RUNNERS}, c as (select *, case when (entrant_id + race_id) % 13 <> 0
+    then odds end as o, case when entrant_id % 19 <> 0 then weight_lbs end as w from runners
+  where (entrant_id + race_id) % 97 <> 0),
 m as (select median(o) as mo, median(case when official_rating > 0 then official_rating end) as mr, median(w) as mw from c),
 x as (select *, median(case when official_rating > 0 then official_rating end) over (partition by race_id) as rr from c, m)
-select race_id, horse_id, {ints(has_official_rating='official_rating > 0')},
+select race_id, entrant_id, {ints(has_official_rating='official_rating > 0')},
   {dbls(odds='coalesce(o, mo)', weight_lbs='coalesce(w, mw)',
         official_rating='case when official_rating > 0 then official_rating else coalesce(rr, mr) end')} from x""")
 def _(spark, sf):
@@ -152,9 +152,9 @@ def _(spark, sf):
 
 
 @query("one_hot_and_frequency", "P17 P18", f"""{WITH_RUNNERS}, f as (select *,
-  row_number() over (partition by jockey order by race_date, race_id, horse_id) as jf,
-  row_number() over (partition by track order by race_date, race_id, horse_id) as tf from runners)
-select race_id, horse_id, {ints(jockey_freq='jf', track_freq='min(tf) over (partition by race_id)',
+  row_number() over (partition by jockey order by race_date, race_id, entrant_id) as jf,
+  row_number() over (partition by track order by race_date, race_id, entrant_id) as tf from runners)
+select race_id, entrant_id, {ints(jockey_freq='jf', track_freq='min(tf) over (partition by race_id)',
   going_Good="going = 'Good'", going_Soft="going = 'Soft'", race_type_Flat="race_type = 'Flat'")} from f""")
 def _(spark, sf):
     df = runner_table(spark, sf)
@@ -163,18 +163,18 @@ def _(spark, sf):
     return pick(df, "jockey_freq track_freq going_Good going_Soft race_type_Flat")
 
 
-@query("result_status", "P38", f"""{WITH_RUNNERS} select race_id, horse_id, case when finish_position > 0 then 'FINISHED'
+@query("result_status", "P38", f"""{WITH_RUNNERS} select race_id, entrant_id, case when finish_position > 0 then 'FINISHED'
   when finish_pos_label <> '' then 'NON_FINISHER' else 'PENDING' end as status, finish_position > 0 as fin_flag
 from runners""".replace(", finish_position > 0 as fin_flag", ""))
 def _(spark, sf):
     return add_result_flags(runner_table(spark, sf)).select(*KEY, "status")
 
 
-@query("numeric_text_and_narrowing", "P7 P37 P41", f"""{WITH_RUNNERS} select horse_id, race_id,
-  cast(case when (horse_id + race_id) % 13 <> 0 then odds end as double) as odds, 'smallint' as draw_type from runners
+@query("numeric_text_and_narrowing", "P7 P37 P41", f"""{WITH_RUNNERS} select entrant_id, race_id,
+  cast(case when (entrant_id + race_id) % 13 <> 0 then odds end as double) as odds, 'smallint' as draw_type from runners
 """.replace("'smallint'", "'tinyint'"))
 def _(spark, sf):
-    df = T.numeric_text_columns(raw_cards(spark, sf).drop("race_date"), ["odds", "horse_name"])
+    df = T.numeric_text_columns(raw_cards(spark, sf).drop("race_date"), ["odds", "entrant_name"])
     kind = dict(T.narrow_integers(runner_table(spark, sf), ["draw"]).dtypes)["draw"]
     all_rows = runner_table(spark, sf).select(*KEY).join(df.select(*KEY, "odds"), KEY)
     return all_rows.select(*KEY, "odds", F.lit(kind).alias("draw_type"))
@@ -185,12 +185,12 @@ def _(spark, sf):
 
 def race_pages(spark, sf):
     """Race pages as JSON text, one per race (a page lists one race's field)."""
-    h, r = F.col("horse_id"), F.col("race_id")
+    h, r = F.col("entrant_id"), F.col("race_id")
     label = F.when(F.col("finish_position") > 0, F.col("finish_position").cast("string")).otherwise("pu")
     ride = F.struct(
         F.when((h + r) % 23 == 0, "NON-RUNNER").otherwise("RUNNER").alias("ride_status"),
-        F.struct(F.col("horse_name").alias("name"), F.struct(h.cast("string").alias("id")).alias("horse_reference"),
-                 F.col("age").alias("age"), F.struct(F.col("sex").alias("type")).alias("sex")).alias("horse"),
+        F.struct(F.col("entrant_name").alias("name"), F.struct(h.cast("string").alias("id")).alias("entrant_reference"),
+                 F.col("age").alias("age"), F.struct(F.col("sex").alias("type")).alias("sex")).alias("entrant"),
         F.struct(F.col("jockey").cast("string").alias("name")).alias("jockey"),
         F.concat((F.floor(F.col("weight_lbs") / 14)).cast("string"), F.lit("-"),
                  (F.col("weight_lbs").cast("int") % 14).cast("string")).alias("handicap"),
@@ -208,17 +208,17 @@ def race_pages(spark, sf):
     return runner_table(spark, sf).groupBy("race_id").agg(F.to_json(page).alias("json"))
 
 
-@query("race_pages_flattened", "S11 S13", f"""{WITH_RUNNERS} select race_id, cast(horse_id as varchar) as horse_id, sex,
+@query("race_pages_flattened", "S11 S13", f"""{WITH_RUNNERS} select race_id, cast(entrant_id as varchar) as entrant_id, sex,
   cast(jockey as varchar) as jockey, case when finish_position > 0 then '' else 'PU' end as finish_pos_label,
   {ints(age='age', draw='draw', finish_position='finish_position', won='finish_position = 1',
         official_rating='official_rating')},
-  {dbls(prize_money='prize_money', weight_lbs='weight_lbs', odds='case when horse_id % 2 = 0 then (horse_id % 7 + 1) / 2.0 + 1 '
+  {dbls(prize_money='prize_money', weight_lbs='weight_lbs', odds='case when entrant_id % 2 = 0 then (entrant_id % 7 + 1) / 2.0 + 1 '
         'else 10 end', lengths_behind='case when finish_position = 1 then 0 when finish_position > 1 then 2.5 end')}
-from runners where (horse_id + race_id) % 23 <> 0""")
+from runners where (entrant_id + race_id) % 23 <> 0""")
 def _(spark, sf):
     df = N.flatten_pages(race_pages(spark, sf))
     return pick(df, "age draw finish_position won official_rating", "prize_money weight_lbs odds lengths_behind",
-                ["race_id", "horse_id", "sex", "jockey", "finish_pos_label"])
+                ["race_id", "entrant_id", "sex", "jockey", "finish_pos_label"])
 
 
 def price_lines(spark, sf):
@@ -230,7 +230,7 @@ def price_lines(spark, sf):
         F.array(F.struct((F.col("user_id") % 12).alias("id"), F.col("value").alias("ltp"))).alias("rc"))).alias("mc"))
     runner = F.col("user_id") % 12
     runners = F.array_sort(F.collect_set(F.struct(
-        runner.alias("id"), F.concat(runner.cast("string"), F.lit(". Horse "), runner.cast("string"), F.lit(" (IRE)"))
+        runner.alias("id"), F.concat(runner.cast("string"), F.lit(". Entrant "), runner.cast("string"), F.lit(" (IRE)"))
         .alias("name"), F.when(runner == 3, "WINNER").when(runner == 11, "REMOVED").otherwise("LOSER").alias("status"),
         (runner + 2.5).cast("double").alias("bsp"))))
     kind = F.col("event_type")
@@ -250,12 +250,12 @@ t as (select id, runner, arg_max(value, pt * 1000000 + event_id) filter (pt <= o
   arg_max(value, pt * 1000000 + event_id) filter (pt <= off_ms - 60000) as ltp_60s,
   arg_max(value, pt * 1000000 + event_id) filter (pt <= off_ms - 300000) as ltp_300s,
   arg_max(value, pt * 1000000 + event_id) as ltp_last from e where runner <> 11 group by 1, 2)
-select id, runner, 'Ascot' as track, '2024-01-20' as race_date, '12:00' as off_time, 'Horse ' || runner as horse_name,
+select id, runner, 'Ascot' as track, '2024-01-20' as race_date, '12:00' as off_time, 'Entrant ' || runner as entrant_name,
   cast(runner = 3 as bigint) as won, 11::bigint as n_runners, runner + 2.5::double as bsp, ltp_preoff, ltp_60s, ltp_300s,
   ltp_last from t""")
 def _(spark, sf):
     df = N.flatten_price_stream(price_lines(spark, sf))
-    return df.select("id", "runner", "track", "race_date", "off_time", "horse_name", i64("won"), i64("n_runners"), "bsp",
+    return df.select("id", "runner", "track", "race_date", "off_time", "entrant_name", i64("won"), i64("n_runners"), "bsp",
                      "ltp_preoff", "ltp_60s", "ltp_300s", "ltp_last")
 
 
@@ -267,7 +267,7 @@ def order_books(spark, sf):
     # Prices of a runner, then runners of an event: both bounded by the order's lines.
     r = li.groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_list(price)).alias("prices"))
     m = r.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.array_sort(F.collect_list(F.struct(
-        F.concat(F.lit("Horse "), F.col("l_partkey").cast("string")).alias("name"), F.lit("open").alias("status"),
+        F.concat(F.lit("Entrant "), F.col("l_partkey").cast("string")).alias("name"), F.lit("open").alias("status"),
         F.col("prices").alias("prices")))).alias("runners"))
     h = F.lpad((F.col("event_id") % 10 + 12).cast("string"), 2, "0")
     return m.select("event_id", F.concat(h, F.lit(":30 Ascot")).alias("name"), F.lit("2024-01-20T12:00:00Z").alias("start"),
@@ -276,7 +276,7 @@ def order_books(spark, sf):
                     .alias("markets"))
 
 
-BOOK_SQL = """book as (select l_orderkey as event_id, 'Horse ' || l_partkey as horse_name,
+BOOK_SQL = """book as (select l_orderkey as event_id, 'Entrant ' || l_partkey as entrant_name,
   max(l_quantity + 1.5) filter (l_returnflag <> 'R') as best_back_odds,
   arg_min(l_extendedprice, {'q': -l_quantity, 'p': l_extendedprice}) filter (l_returnflag <> 'R') as best_back_available,
   min(l_quantity + 1.5) filter (l_returnflag = 'R') as best_lay_odds,
@@ -284,7 +284,7 @@ BOOK_SQL = """book as (select l_orderkey as event_id, 'Horse ' || l_partkey as h
   from lineitem group by 1, 2)"""
 
 
-@query("order_book_flattened", "S17 S18 S19 S12", f"""with {BOOK_SQL} select event_id, horse_name, best_back_odds,
+@query("order_book_flattened", "S17 S18 S19 S12", f"""with {BOOK_SQL} select event_id, entrant_name, best_back_odds,
   best_back_available, best_lay_odds, best_lay_available, 'Ascot' as track,
   lpad(cast(event_id % 10 + 12 as varchar), 2, '0') || ':30' as off_time, 'UK' as country, count(*) over (partition by
   event_id) as runner_count from book""")
@@ -294,7 +294,7 @@ def _(spark, sf):
     book = N.flatten_order_book(events)
     markets = N.market_table(events).select("event_id", i64("runner_count"))
     return book.join(markets, "event_id").select(
-        "event_id", "horse_name", "best_back_odds", "best_back_available", "best_lay_odds", "best_lay_available",
+        "event_id", "entrant_name", "best_back_odds", "best_back_available", "best_lay_odds", "best_lay_available",
         track.alias("track"), off.alias("off_time"), N.event_country(F.col("tags")).alias("country"), "runner_count")
 
 
@@ -308,18 +308,18 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", i64(N.keep_meeting(country, course, feed, ("bangor-on-dee",)), "keep"))
 
 
-@query("nested_profiles", "S24 S25 J1", f"""{WITH_RUNNERS} select distinct on (horse_id) horse_id, sire, dam, 'x' as y from runners
-""".replace("distinct on (horse_id) horse_id, sire, dam, 'x' as y", "distinct horse_id, sire, dam, damsire, "
-            + r6_sql("30 + horse_id % 7", "sm_top_speed") + ", cast(horse_id % 12 as bigint) as sm_fsp_rank"))
+@query("nested_profiles", "S24 S25 J1", f"""{WITH_RUNNERS} select distinct on (entrant_id) entrant_id, sire, dam, 'x' as y from runners
+""".replace("distinct on (entrant_id) entrant_id, sire, dam, 'x' as y", "distinct entrant_id, sire, dam, damsire, "
+            + r6_sql("30 + entrant_id % 7", "sm_top_speed") + ", cast(entrant_id % 12 as bigint) as sm_fsp_rank"))
 def _(spark, sf):
-    h = F.col("horse_id")
+    h = F.col("entrant_id")
     profile = F.to_json(F.struct(
         F.struct(F.col("sire").alias("name")).alias("sire"),
         F.struct(F.col("dam").alias("name"), F.struct(F.col("damsire").alias("name")).alias("sire")).alias("dam"),
         F.lit("1994-03-01").alias("foaled")))
     metrics = F.to_json(F.struct(F.struct((30.0 + h % 7).alias("value"), F.lit(1).alias("rank")).alias("top_speed"),
                                  F.struct(F.lit(1.0).alias("value"), (h % 12).alias("rank")).alias("fsp")))
-    df = runner_table(spark, sf).select("horse_id", profile.alias("p"), metrics.alias("m")).distinct()
+    df = runner_table(spark, sf).select("entrant_id", profile.alias("p"), metrics.alias("m")).distinct()
     a = N.pedigree_from_profile(df, "p")
-    b = N.flatten_speed_map(df, "m", ["horse_id"])
-    return a.join(b, "horse_id").select("horse_id", "sire", "dam", "damsire", r6("sm_top_speed"), i64("sm_fsp_rank"))
+    b = N.flatten_speed_map(df, "m", ["entrant_id"])
+    return a.join(b, "entrant_id").select("entrant_id", "sire", "dam", "damsire", r6("sm_top_speed"), i64("sm_fsp_rank"))

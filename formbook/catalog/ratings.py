@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formbook.catalog.features_horse import KEY, _DC, dbls, ints, pick
+from formbook.catalog.features_entrant import KEY, _DC, dbls, ints, pick
 from formbook.catalog.history import history_base
 from formbook.catalog.registry import WITH_FLAGS, WITH_RUNNERS, query, runner_skew
-from formbook.features.horse import add_opposition_strength_features, distance_category
+from formbook.features.entrant import add_opposition_strength_features, distance_category
 from formbook.operators import ratings as A
 
 EXP = "1 / (1 + pow(10.0, (b.rating - a.rating) / 400.0))"
@@ -18,32 +18,32 @@ def base(spark, sf):
 
 
 # Ratings before a race, derived from the keys: the input of a one-race update.
-_PRE = f"""{WITH_RUNNERS}, p as (select *, cast(1400 + horse_id * 37 % 200 as double) as rating, horse_id % 40 as runs,
-  cast(60 + horse_id % 90 as double) as rd, max(case when finish_position > 0 then lengths_behind end) over (partition by
+_PRE = f"""{WITH_RUNNERS}, p as (select *, cast(1400 + entrant_id * 37 % 200 as double) as rating, entrant_id % 40 as runs,
+  cast(60 + entrant_id % 90 as double) as rd, max(case when finish_position > 0 then lengths_behind end) over (partition by
   race_id) as far from runners), f as (select *, count(*) over (partition by race_id) as n from p where finish_position > 0)"""
 
 
 def one_race(spark, sf, margin: bool):
-    rows = A.rating_rows(base(spark, sf), [A.Pool("x", "horse_id", margin=margin)], "month")
-    h = F.col("horse_id")
+    rows = A.rating_rows(base(spark, sf), [A.Pool("x", "entrant_id", margin=margin)], "month")
+    h = F.col("entrant_id")
     return rows.select("*", (1400 + h * 37 % 200).cast("double").alias("s_rating"), (h % 40).alias("s_runs"),
                        F.lit(0.0).alias("s_momentum"), (60 + h % 90).cast("double").alias("s_rd"),
                        F.col("race_date").alias("s_last"))
 
 
-@query("elo_race_update", "R1 R2 J8", f"""{_PRE} select a.race_id, a.horse_id, {dbls(delta=f'(8 + 8 * exp(-0.05 * any_value(a.runs))) '
+@query("elo_race_update", "R1 R2 J8", f"""{_PRE} select a.race_id, a.entrant_id, {dbls(delta=f'(8 + 8 * exp(-0.05 * any_value(a.runs))) '
   f'/ (any_value(a.n) - 1) * sum(case when a.finish_position < b.finish_position then 1.0 when a.finish_position = '
   f'b.finish_position then 0.5 else 0 end - {EXP})')}
-from f a join f b on a.race_id = b.race_id and a.horse_id <> b.horse_id group by 1, 2""")
+from f a join f b on a.race_id = b.race_id and a.entrant_id <> b.entrant_id group by 1, 2""")
 def _(spark, sf):
     return pick(A.elo_step(one_race(spark, sf, False)).where("active"), "", "delta")
 
 
 @query("margin_elo_race_update", "R3 R4", f"""{_PRE}, g as (select *, case when finish_position > 0 then lengths_behind
   else coalesce(far, 0) + 30 end as v, 3.0 * distance_furlongs / 8.0 as sc, count(*) over (partition by race_id) as m from p)
-select a.race_id, a.horse_id, {dbls(delta=f'(8 + 8 * exp(-0.05 * any_value(a.runs))) / (any_value(a.m) - 1) * sum(0.5 + '
+select a.race_id, a.entrant_id, {dbls(delta=f'(8 + 8 * exp(-0.05 * any_value(a.runs))) / (any_value(a.m) - 1) * sum(0.5 + '
   f'sign(b.v - a.v) * 0.5 * (1 - exp(-abs(b.v - a.v) / a.sc)) - {EXP})')}
-from g a join g b on a.race_id = b.race_id and a.horse_id <> b.horse_id group by 1, 2""")
+from g a join g b on a.race_id = b.race_id and a.entrant_id <> b.entrant_id group by 1, 2""")
 def _(spark, sf):
     return pick(A.elo_step(one_race(spark, sf, True)).where("active"), "", "delta")
 
@@ -53,11 +53,11 @@ _E = f"(1 / (1 + pow(10.0, {_G} * (b.rating - a.rating) / 400.0)))"
 
 
 @query("glicko_race_update", "R9", f"""{_PRE}, c as (select *, ln(10.0) / 400.0 as q from f),
-s as (select a.race_id, a.horse_id, any_value(a.q) as q, any_value(a.rd) as rd, any_value(a.rating) as rating,
+s as (select a.race_id, a.entrant_id, any_value(a.q) as q, any_value(a.rd) as rd, any_value(a.rating) as rating,
   sum({_G.replace('q', 'a.q')} * {_G.replace('q', 'a.q')} * {_E.replace('q * q', 'a.q * a.q')} * (1 - {_E.replace('q * q', 'a.q * a.q')})) as info,
   sum({_G.replace('q', 'a.q')} * (case when a.finish_position < b.finish_position then 1.0 else 0 end - {_E.replace('q * q', 'a.q * a.q')})) as gain
-  from c a join c b on a.race_id = b.race_id and a.horse_id <> b.horse_id group by 1, 2)
-select race_id, horse_id, {dbls(new_rating='rating + q / (1 / (rd * rd) + q * q * info) * gain',
+  from c a join c b on a.race_id = b.race_id and a.entrant_id <> b.entrant_id group by 1, 2)
+select race_id, entrant_id, {dbls(new_rating='rating + q / (1 / (rd * rd) + q * q * info) * gain',
   new_rd='least(greatest(sqrt(1 / (1 / (rd * rd) + q * q * info)), 50), 350)')} from s""".replace(" sa.qrt(", " sqrt("))
 def _(spark, sf):
     rows = one_race(spark, sf, False).withColumn("dim", F.col("race_id").cast("string"))
@@ -70,7 +70,7 @@ YEARS = list(range(1995, 2002))
 
 def elo_sql(value: str, where: str, entity: str, dim: str, score: str) -> str:
     """The sweep as one chained block per year: deltas from the ratings summed so far."""
-    out = [f"""b0 as materialized (select race_id, horse_id, year(race_date) as y, cast({entity} as varchar) as e, {dim} as dm, {value} as v,
+    out = [f"""b0 as materialized (select race_id, entrant_id, year(race_date) as y, cast({entity} as varchar) as e, {dim} as dm, {value} as v,
   3.0 * distance_furlongs / 8.0 as sc from r_ where {where}),
 b as materialized (select *, count(v) over (partition by race_id) as n from b0)"""]
     for i, y in enumerate(YEARS):
@@ -81,12 +81,12 @@ b as materialized (select *, count(v) over (partition by race_id) as n from b0)"
         out.append(f"""st{i} as materialized (select e, dm, 1500 + sum(delta) as rating, count(*) as runs from ({seen}) group by 1, 2),
 c{i} as materialized (select b.*, coalesce(rating, 1500) as rating, coalesce(runs, 0) as runs from b left join st{i}
   on b.e = st{i}.e and b.dm = st{i}.dm where y = {y}),
-d{i} as materialized (select a.race_id, a.horse_id, any_value(a.e) as e, any_value(a.dm) as dm, any_value(a.rating) as rating,
+d{i} as materialized (select a.race_id, a.entrant_id, any_value(a.e) as e, any_value(a.dm) as dm, any_value(a.rating) as rating,
   any_value(a.runs) as runs, (8 + 8 * exp(-0.05 * any_value(a.runs))) / (any_value(a.n) - 1) * coalesce(sum(case when
   a.e <> b.e then {score} - {EXP} end), 0) as delta
   from c{i} a join c{i} b on a.race_id = b.race_id where a.v is not null and b.v is not null and a.n >= 2
-  group by a.race_id, a.horse_id)""")
-    out.append("res as (" + " union all ".join(f"select race_id, horse_id, e, dm, rating, runs from c{i}"
+  group by a.race_id, a.entrant_id)""")
+    out.append("res as (" + " union all ".join(f"select race_id, entrant_id, e, dm, rating, runs from c{i}"
                                                for i in range(len(YEARS))) + ")")
     return ",\n".join(out)
 
@@ -100,14 +100,14 @@ def sweep(spark, sf, pool):
     return pick(rows, "runs", "rating")
 
 
-@query("elo_horse", "R5 R2 D3", f"""{_R}, {elo_sql('fp', 'true', 'horse_id', "'all'", _RANK)}
-select race_id, horse_id, {ints(runs='runs')}, {dbls(rating='rating')} from res""")
+@query("elo_entrant", "R5 R2 D3", f"""{_R}, {elo_sql('fp', 'true', 'entrant_id', "'all'", _RANK)}
+select race_id, entrant_id, {ints(runs='runs')}, {dbls(rating='rating')} from res""")
 def _(spark, sf):
-    return sweep(spark, sf, A.Pool("horse", "horse_id"))
+    return sweep(spark, sf, A.Pool("entrant", "entrant_id"))
 
 
 @query("elo_jockey_by_race_type", "R7 Q15", f"""{_R}, {elo_sql('fp', 'true', 'jockey', 'race_type', _RANK)}
-select race_id, horse_id, {ints(runs='runs')}, {dbls(rating='rating')} from res""")
+select race_id, entrant_id, {ints(runs='runs')}, {dbls(rating='rating')} from res""")
 def _(spark, sf):
     return sweep(spark, sf, A.Pool("jockey_rt", "jockey", "race_type"))
 
@@ -116,10 +116,10 @@ _MARGIN = "0.5 + sign(b.v - a.v) * 0.5 * (1 - exp(-abs(b.v - a.v) / a.sc))"
 
 
 @query("elo_margin", "R4 R5", f"""{_R}, {elo_sql('case when fp >= 1 then lengths_behind else coalesce(far, 0) + 30 end', 'true',
-  'horse_id', "'all'", _MARGIN)}
-select race_id, horse_id, {ints(runs='runs')}, {dbls(rating='rating')} from res""")
+  'entrant_id', "'all'", _MARGIN)}
+select race_id, entrant_id, {ints(runs='runs')}, {dbls(rating='rating')} from res""")
 def _(spark, sf):
-    return sweep(spark, sf, A.Pool("margin", "horse_id", margin=True))
+    return sweep(spark, sf, A.Pool("margin", "entrant_id", margin=True))
 
 
 @query("elo_features", "R5 R6 R7 R8 E29 W19 J9")
@@ -128,29 +128,29 @@ def _(spark, sf):
     rows, _ = A.rate_history(df, "elo", A.ELO_POOLS, "year")
     df = A.add_elo_features(df, rows, runner_skew(spark, sf))
     df = add_opposition_strength_features(df, runner_skew(spark, sf))
-    return pick(df, "has_horse_elo horse_elo_rank horse_elo_top",
-                "horse_elo jockey_elo trainer_elo horse_elo_vs_field combined_elo horse_elo_momentum horse_margin_elo "
-                "horse_elo_surface_edge jockey_elo_rt_edge opposition_elo field_avg_elo_5 elo_vs_field_ewma")
+    return pick(df, "has_entrant_elo entrant_elo_rank entrant_elo_top",
+                "entrant_elo jockey_elo trainer_elo entrant_elo_vs_field combined_elo entrant_elo_momentum entrant_margin_elo "
+                "entrant_elo_surface_edge jockey_elo_rt_edge opposition_elo field_avg_elo_5 elo_vs_field_ewma")
 
 
 @query("glicko_features", "R10 R13")
 def _(spark, sf):
     df = base(spark, sf)
-    rows, _ = A.rate_history(df, "glicko", [A.Pool("horse", "horse_id")], "year")
+    rows, _ = A.rate_history(df, "glicko", [A.Pool("entrant", "entrant_id")], "year")
     df = A.add_glicko_features(df, rows, runner_skew(spark, sf))
-    return pick(df, "has_horse_glicko horse_glicko_rank", "horse_glicko horse_glicko_rd horse_glicko_lcb "
-                                                          "horse_glicko_vs_field horse_glicko_rd_vs_field")
+    return pick(df, "has_entrant_glicko entrant_glicko_rank", "entrant_glicko entrant_glicko_rd entrant_glicko_lcb "
+                                                          "entrant_glicko_vs_field entrant_glicko_rd_vs_field")
 
 
 @query("glicko2_ratings", "R11 D3")
 def _(spark, sf):
-    rows, _ = A.rate_history(base(spark, sf), "glicko2", [A.Pool("horse", "horse_id")], "year")
+    rows, _ = A.rate_history(base(spark, sf), "glicko2", [A.Pool("entrant", "entrant_id")], "year")
     return pick(rows, "runs", "mu phi sigma")
 
 
 @query("skill_ratings", "R12 D3")
 def _(spark, sf):
-    rows, _ = A.rate_history(base(spark, sf), "skill", [A.Pool("horse", "horse_id")], "year")
+    rows, _ = A.rate_history(base(spark, sf), "skill", [A.Pool("entrant", "entrant_id")], "year")
     return pick(rows, "runs", "mu sigma")
 
 

@@ -41,7 +41,7 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
 
 
 ENTITY_KEYS = [
-    ("race_id",), ("horse_id",), ("jockey",), ("trainer",), ("track",), ("going",), ("surface",),
+    ("race_id",), ("entrant_id",), ("jockey",), ("trainer",), ("track",), ("going",), ("surface",),
     ("race_type",), ("race_class",), ("sire",), ("dam",), ("damsire",),
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formbook.catalog.betting import BY_RACE, WITH_PREDS, predictions
-from formbook.catalog.features_horse import KEY, dbls, ints, pick
+from formbook.catalog.features_entrant import KEY, dbls, ints, pick
 from formbook.catalog.registry import WITH_RUNNERS, i64, query, r6, runner_skew, runner_table
 from formbook.operators import calibration as C
 from formbook.operators import metrics as M
@@ -37,8 +37,8 @@ def _(spark, sf):
 
 @query("ranking_scores", "M18 T3 W16", f"""{WITH_PREDS}, g as (select *, case finish_position when 1 then 5 when 2 then 2
   when 3 then 1 else 0 end as g from preds where finish_position > 0),
-k as (select *, row_number() over (partition by race_id order by score desc, horse_id) as rs,
-  row_number() over (partition by race_id order by g desc, horse_id) as rg from g
+k as (select *, row_number() over (partition by race_id order by score desc, entrant_id) as rs,
+  row_number() over (partition by race_id order by g desc, entrant_id) as rg from g
   qualify count(*) {BY_RACE} >= 2 and max(g) {BY_RACE} > min(g) {BY_RACE} and max(score) {BY_RACE} > min(score) {BY_RACE}),
 d as (select *, avg(case when rs <= 1 then 1 / log2(rs + 1) else 0 end) over (partition by race_id, score) as d1,
   avg(case when rs <= 3 then 1 / log2(rs + 1) else 0 end) over (partition by race_id, score) as d3 from k),
@@ -55,8 +55,8 @@ def _(spark, sf):
 
 @query("rank_probability_score", "M19 W20", f"""{WITH_PREDS}, f as (select * from preds where finish_position > 0
   qualify count(*) {BY_RACE} >= 2),
-c as (select *, sum(model_prob) over (partition by race_id order by finish_position, horse_id rows unbounded preceding)
-  as cum, row_number() over (partition by race_id order by finish_position, horse_id) as k, count(*) {BY_RACE} as n from f),
+c as (select *, sum(model_prob) over (partition by race_id order by finish_position, entrant_id rows unbounded preceding)
+  as cum, row_number() over (partition by race_id order by finish_position, entrant_id) as k, count(*) {BY_RACE} as n from f),
 r_ as (select race_id, sum(case when k < n then (cum - 1) * (cum - 1) else 0 end) / (max(n) - 1) as r from c group by 1)
 select {ints(races='count(*)')}, {dbls(rps='avg(r)')} from r_""")
 def _(spark, sf):
@@ -64,7 +64,7 @@ def _(spark, sf):
 
 
 @query("decile_calibration", "M20 W21", f"""{WITH_PREDS}, s as (select model_prob as p, won,
-  row_number() over (order by model_prob, race_id, horse_id) as i, count(*) over () as n from preds),
+  row_number() over (order by model_prob, race_id, entrant_id) as i, count(*) over () as n from preds),
 d as (select *, least((i - 1) // (n // 10), 9) + 1 as decile from s)
 select {ints(decile='decile', rows='count(*)')}, {dbls(prob_lo='min(p)', prob_hi='max(p)', mean_pred='avg(p)',
   obs_rate='avg(won)')} from d group by decile""")
@@ -77,8 +77,8 @@ _K3 = """case when num_runners <= 4 then 3 when num_runners <= 7 then 2 when num
 
 
 @query("place_scores", "M21 M34", f"""{WITH_PREDS}, f as (select *, {_K3} as k,
-  row_number() over (partition by race_id order by place_prob desc, horse_id) as r_,
-  row_number() over (partition by race_id order by score desc, horse_id) as s_ from preds where finish_position > 0),
+  row_number() over (partition by race_id order by place_prob desc, entrant_id) as r_,
+  row_number() over (partition by race_id order by score desc, entrant_id) as s_ from preds where finish_position > 0),
 y as (select *, cast(finish_position <= k as integer) as y from f),
 t as (select race_id, sum(cast(s_ <= 3 and finish_position <= 3 as integer)) as h, sum(cast(s_ <= 3 as integer)) as n
   from f group by 1)
@@ -108,10 +108,10 @@ def _(spark, sf):
     return pick(df, "rows", "brier_score log_loss", ["model"])
 
 
-@query("ensemble", "M31 W17", f"""{WITH_PREDS}, l as (select race_id, horse_id, unnest([model_prob,
+@query("ensemble", "M31 W17", f"""{WITH_PREDS}, l as (select race_id, entrant_id, unnest([model_prob,
   1 / odds / sum(1 / odds) {BY_RACE}, 1.0 / num_runners]) as p from preds),
-a as (select race_id, horse_id, avg(p) as m from l group by 1, 2)
-select race_id, horse_id, {dbls(ensemble_prob=f'm / sum(m) {BY_RACE}')} from a""")
+a as (select race_id, entrant_id, avg(p) as m from l group by 1, 2)
+select race_id, entrant_id, {dbls(ensemble_prob=f'm / sum(m) {BY_RACE}')} from a""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
     df = M.with_market_probs(predictions(spark, sf), skew=skew)
@@ -142,17 +142,17 @@ def _(spark, sf):
 
 @query("ranker_agreement", "B25 W14", f"""{WITH_PREDS}, k as (select *,
   rank() over (partition by race_id order by model_prob desc) as cr, rank() over (partition by race_id order by score desc)
-  as sr, row_number() over (partition by race_id order by model_prob desc, horse_id) as c_,
-  row_number() over (partition by race_id order by score desc, horse_id) as s_ from preds),
-t as (select *, max(cast(c_ = 1 and s_ = 1 as integer)) {BY_RACE} as ag, max(cast(c_ = 1 and s_ <= 3 as integer)) {BY_RACE}
-  as nr from k)
-select race_id, horse_id, {ints(rank_gap='cr - sr', split_flag='abs(cr - sr) >= 3')},
-  case when ag = 1 then 'agree' when nr = 1 then 'near' else 'split' end as consensus,
-  case when ag = 1 and abs(cr - sr) <= 1 then 'high' when abs(cr - sr) <= 2 then 'medium' else 'low' end as confidence
-from t""")
+  as sr, row_number() over (partition by race_id order by model_prob desc, entrant_id) as c_,
+  row_number() over (partition by race_id order by score desc, entrant_id) as s_ from preds),
+t as (select *, abs(cr - sr) as gap, max(cast(c_ = 1 and s_ = 1 as integer)) {BY_RACE} as same,
+  avg(case when cr <= 3 or sr <= 3 then abs(cr - sr) end) {BY_RACE} as mg from k)
+select race_id, entrant_id, {ints(rank_gap='gap', disagrees_top='(cr = 1) <> (sr = 1)')},
+  case when same = 0 then 'split' when mg <= 0.75 then 'strong' when mg <= 1.5 then 'moderate' else 'narrow' end as consensus,
+  case when (cr = 1) <> (sr = 1) and cr = 1 then 'split' when gap >= 2 then 'caution' when gap <= 0 then 'aligned'
+    when gap <= 1 then 'supported' end as confidence from t""")
 def _(spark, sf):
     df = M.ranker_agreement(predictions(spark, sf), skew=runner_skew(spark, sf))
-    return df.select(*KEY, i64("rank_gap"), i64("split_flag"), "consensus", "confidence")
+    return df.select(*KEY, i64("rank_gap"), i64("disagrees_top"), "consensus", "confidence")
 
 
 @query("importance_concentration", "A22", f"""{WITH_RUNNERS}, i as (select trainer as feature,
@@ -192,7 +192,7 @@ p{i + 1} as (select a + (hzz * gx - hxz * gz) / (hxx * hzz - hxz * hxz) as a,
 k as (select *, 1 / odds / sum(1 / odds) {BY_RACE} as mk from preds),
 e as (select k.*, exp(a * ln(least(greatest(model_prob, 1e-6), 1 - 1e-6)) + b * ln(least(greatest(mk, 1e-6), 1 - 1e-6))) as e
   from k, p8)
-select race_id, horse_id, {dbls(5, blended_prob=f'e / sum(e) {BY_RACE}')} from e""")
+select race_id, entrant_id, {dbls(5, blended_prob=f'e / sum(e) {BY_RACE}')} from e""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
     df = M.with_market_probs(predictions(spark, sf), skew=skew)
@@ -221,11 +221,11 @@ _SIG = "(1 / (1 + exp(-least(greatest(a * x + b, -60), 60))))"
 _LOGIT = "ln(least(greatest({p}, 1e-9), 1 - 1e-9) / (1 - least(greatest({p}, 1e-9), 1 - 1e-9)))"
 
 
-@query("win_calibration", "M11 M13", f"""{WITH_PREDS}, lp as (select race_id, horse_id, won, {_LOGIT.format(p='model_prob')} as x
+@query("win_calibration", "M11 M13", f"""{WITH_PREDS}, lp as (select race_id, entrant_id, won, {_LOGIT.format(p='model_prob')} as x
   from preds), {scoring_sql('lp', '1.0::double as a, 0.0::double as b', _SIG, f'(1 - {_SIG}) * x', f'1 - {_SIG}', _TWO,
   C.FIT_STEPS)},
-o as (select race_id, horse_id, {_SIG} as s from lp, q{C.FIT_STEPS})
-select race_id, horse_id, {dbls(5, win_probability=f's / sum(s) {BY_RACE}')} from o""")
+o as (select race_id, entrant_id, {_SIG} as s from lp, q{C.FIT_STEPS})
+select race_id, entrant_id, {dbls(5, win_probability=f's / sum(s) {BY_RACE}')} from o""")
 def _(spark, sf):
     """Platt parameters by win log-loss, applied and normalised in the race."""
     skew = runner_skew(spark, sf)
@@ -245,11 +245,11 @@ def _(spark, sf):
     return pick(out, "", "win_probability")
 
 
-@query("softmax_temperature", "M15 W17", f"""{WITH_PREDS}, lp as (select race_id, horse_id, won,
+@query("softmax_temperature", "M15 W17", f"""{WITH_PREDS}, lp as (select race_id, entrant_id, won,
   score - max(score) {BY_RACE} as x from preds), {scoring_sql('lp', '1.0::double as a, 0.0::double as b', 'exp(x * a)', 'x',
   '0.0', 'least(greatest(a + least(greatest(gu / (hu + rg), -1), 1), 1 / 6.0), 5) as a, b', 12)},
-o as (select race_id, horse_id, exp(x * a) as s from lp, q12)
-select race_id, horse_id, {dbls(5, win_probability=f's / sum(s) {BY_RACE}')} from o""")
+o as (select race_id, entrant_id, exp(x * a) as s from lp, q12)
+select race_id, entrant_id, {dbls(5, win_probability=f's / sum(s) {BY_RACE}')} from o""")
 def _(spark, sf):
     skew = runner_skew(spark, sf)
     df = predictions(spark, sf)
@@ -268,9 +268,9 @@ q{i + 1} as (select {_TWO} from h{i})""")
     return ",\n".join(out)
 
 
-@query("place_calibration", "M11", f"""{WITH_PREDS}, lp as (select race_id, horse_id, {_LOGIT.format(p='place_prob')} as x,
+@query("place_calibration", "M11", f"""{WITH_PREDS}, lp as (select race_id, entrant_id, {_LOGIT.format(p='place_prob')} as x,
   cast(finish_position > 0 and finish_position <= {_K3} as integer) as y from preds), {brier_sql(C.FIT_STEPS)}
-select race_id, horse_id, {dbls(5, place_cal=_SIG)} from lp, q{C.FIT_STEPS}""")
+select race_id, entrant_id, {dbls(5, place_cal=_SIG)} from lp, q{C.FIT_STEPS}""")
 def _(spark, sf):
     df = S.with_targets(predictions(spark, sf), skew=runner_skew(spark, sf))
     a, b = C.fit_place_platt(df)
@@ -279,7 +279,7 @@ def _(spark, sf):
 
 @query("preferred_market_probability", "M6 W17", f"""{WITH_PREDS}, k as (select *,
   case when bsp > 1 then 1 / bsp end as e, case when odds > 1 then 1 / odds end as s from preds)
-select race_id, horse_id, {dbls(market_pref=f'coalesce(e / sum(e) {BY_RACE}, s / sum(s) {BY_RACE})')} from k""")
+select race_id, entrant_id, {dbls(market_pref=f'coalesce(e / sum(e) {BY_RACE}, s / sum(s) {BY_RACE})')} from k""")
 def _(spark, sf):
     return pick(M.preferred_market(predictions(spark, sf), skew=runner_skew(spark, sf)), "", "market_pref")
 
@@ -289,18 +289,18 @@ def _(spark, sf):
 
 @query("degenerate_races", "F2 F1 X4", f"""{WITH_RUNNERS}, b as (select race_id from runners where finish_position > 0
   group by 1 having max(num_runners) <= 1 or count(distinct finish_position) <= 1 or min(odds) < 1.01)
-select race_id, horse_id, finish_position::bigint as finish_position from runners
-where finish_position = 0 or race_id not in (select race_id from b)""")
+select race_id, entrant_id, finish_position::bigint as finish_position from runners
+where race_id not in (select race_id from b)""")
 def _(spark, sf):
     return S.drop_degenerate_races(runner_table(spark, sf)).select(*KEY, i64("finish_position"))
 
 
 @query("burn_in_split_purge", "F3 F4 M1", f"""{WITH_RUNNERS}, w as (select * from runners, (select min(race_date) as a,
   max(race_date) as z from runners) where a + interval 4 month >= z or race_date >= a + interval 4 month),
-s as (select *, row_number() over (order by race_date, race_id, horse_id) - 1 as i, count(*) over () as n from w),
+s as (select *, row_number() over (order by race_date, race_id, entrant_id) - 1 as i, count(*) over () as n from w),
 t as (select *, min(i) over (partition by race_id) > floor(n * 0.8) as is_test from s),
 f as (select min(race_date) as t0 from t where is_test)
-select race_id, horse_id, cast(is_test as bigint) as is_test from t, f
+select race_id, entrant_id, cast(is_test as bigint) as is_test from t, f
 where is_test or race_date <= t0 - interval 7 day""")
 def _(spark, sf):
     df = S.purge(S.with_test_flag(S.burn_in(runner_table(spark, sf))))
@@ -330,7 +330,7 @@ def _(spark, sf):
 
 
 @query("calibration_slab", "M32 M33", f"""{WITH_RUNNERS}, s as (select *, row_number() over (order by race_date, race_id,
-  horse_id) - 1 as i, count(*) over () as n from runners),
+  entrant_id) - 1 as i, count(*) over () as n from runners),
 t as (select *, min(i) over (partition by race_id) as i0 from s),
 e as (select *, i0 > floor(n * 0.9) as v from t), f as (select min(race_date) as v0 from e where v)
 select case when i0 > floor(n * (1 - (1.0 - 0.8))) then 'calibrate' else 'fit' end as part,
@@ -346,7 +346,7 @@ _W = {"exp": "exp(-ln(2.0) * ago / 180)", "poly": "1.0 / (1.0 + ago / 180)", "li
 
 @query("recency_weights", "M4", f"""{WITH_RUNNERS}, a as (select *, cast(max(race_date) over () - race_date as double) as ago,
   1.0 + 0.15 * cast(month(race_date) = month(max(race_date) over ()) as integer) as s from runners)
-select race_id, horse_id, {dbls(**{f'w_{k}': f'{v} * s / avg({v} * s) over ()' for k, v in _W.items()})} from a""")
+select race_id, entrant_id, {dbls(**{f'w_{k}': f'{v} * s / avg({v} * s) over ()' for k, v in _W.items()})} from a""")
 def _(spark, sf):
     df = runner_table(spark, sf).select(*KEY, "race_date")
     for shape in _W:
@@ -357,7 +357,7 @@ def _(spark, sf):
 @query("training_targets", "M5 M6 Q10", f"""{WITH_PREDS}, k as (select *, sum(1 / odds) {BY_RACE} as book,
   max(lengths_behind) {BY_RACE} as far, {_K3} as k from preds),
 v as (select *, 1 / odds / book as ip from k)
-select race_id, horse_id, {ints(y_placed='finish_position > 0 and finish_position <= k',
+select race_id, entrant_id, {ints(y_placed='finish_position > 0 and finish_position <= k',
   y_rel='case finish_position when 1 then 5 when 2 then 2 when 3 then 1 else 0 end')},
   {dbls(y_resid='won - ip', y_norm_pos='case when finish_position > 0 then (finish_position - 1) / '
         'cast(greatest(num_runners - 1, 1) as double) end',

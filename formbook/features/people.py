@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.features.flags import ORDER
-from formbook.features.horse import drop_helpers, flag, half_furlong, record
+from formbook.features.entrant import drop_helpers, flag, half_furlong, record
 from formbook.functions.numeric import rate, shrink
 from formbook.plans.ewma import with_ewma
 from formbook.plans.ladder import attach_day_ladder, attach_race_ladder, calendar_sums, day_start_view
 from formbook.plans.ordered import Rolling, Running, ordered
 from formbook.plans.skew import SkewProfile
 
-ROW_ORDER = (*ORDER, "horse_id")
+ROW_ORDER = (*ORDER, "entrant_id")
 
 
 def results() -> dict[str, Column]:
@@ -102,17 +102,17 @@ def add_trainer_specialisation_features(df: DataFrame, skew=None) -> DataFrame:
 
 
 def add_cross_entity_features(df: DataFrame, skew=None) -> DataFrame:
-    """Jockey by going and distance, horse by going and trip, trainer by class."""
+    """Jockey by going and distance, entrant by going and trip, trainer by class."""
     src = df
     df = df.withColumn("_half", half_furlong())
-    if "horse_going_runs" not in df.columns:
-        df = record(df, ["horse_id", "going"], "horse_going", skew)
-        df = df.withColumn("horse_going_wr", rate("_horse_going_wins", "horse_going_runs"))
-    df = record(df, ["horse_id", "going", "_half"], "horse_going_dist", skew)
+    if "entrant_going_runs" not in df.columns:
+        df = record(df, ["entrant_id", "going"], "entrant_going", skew)
+        df = df.withColumn("entrant_going_wr", rate("_entrant_going_wins", "entrant_going_runs"))
+    df = record(df, ["entrant_id", "going", "_half"], "entrant_going_dist", skew)
     df = plain_record(df, src, ["jockey", "going"], "jockey_going", "wr", 2)
     df = plain_record(df, src, ["jockey", "dist_category"], "jockey_dist_cat", "wr", 2)
     df = plain_record(df, src, ["trainer", "race_class"], "trainer_class", "wr", 2)
-    return drop_helpers(df.withColumn("horse_going_dist_wr", rate("_horse_going_dist_wins", "horse_going_dist_runs")))
+    return drop_helpers(df.withColumn("entrant_going_dist_wr", rate("_entrant_going_dist_wins", "entrant_going_dist_runs")))
 
 
 def soft_ground() -> Column:
@@ -154,7 +154,7 @@ def add_pedigree_features(df: DataFrame, skew=None) -> DataFrame:
 def add_candidate_features(df: DataFrame, skew=None) -> DataFrame:
     """Sires by distance category and going, and how often a trainer's newcomers win."""
     n, w, p = F.lit(1), F.col("won"), F.col("placed_hist")
-    df = ordered(df, ["horse_id"], ORDER, {"_runs": Running("sum", F.col("rs"))}, skew)
+    df = ordered(df, ["entrant_id"], ORDER, {"_runs": Running("sum", F.col("rs"))}, skew)
     df = df.withColumn("is_debut", flag(F.coalesce("_runs", F.lit(0)) == 0)).drop("_runs")
     src = df
     for parent in ("sire", "damsire"):
@@ -170,7 +170,7 @@ def add_candidate_features(df: DataFrame, skew=None) -> DataFrame:
     return df.drop("_n", "_w")
 
 
-TE_PRIOR, TE_STRENGTH, TE_DAYS, TE_HALF_LIFE = 0.45, 15.0, 365, 10
+TE_PRIOR, TE_STRENGTH, TE_DAYS, TE_HALF_LIFE = 0.45, 15.0, 365, 20
 
 
 def encoded(total: str, n: str) -> Column:
@@ -185,15 +185,15 @@ def add_target_encoded_features(df: DataFrame, skew=None) -> DataFrame:
     df = df.withColumn("_np", ((F.col("fp") - 1) / F.greatest(field - 1, F.lit(1))).cast("double"))
     df = df.withColumn("_nw", F.col("finished"))
     src = df
-    # Horses: one run a day as a rule, so plain row order.
-    df = ordered(df, ["horse_id"], ORDER, {"_s": Running("sum", F.col("_np")), "_c": Running("sum", F.col("_nw"))}, skew)
+    # Entrants: one run a day as a rule, so plain row order.
+    df = ordered(df, ["entrant_id"], ORDER, {"_s": Running("sum", F.col("_np")), "_c": Running("sum", F.col("_nw"))}, skew)
     df = df.fillna(0, ["_s", "_c"])
-    df = calendar_sums(df, ["horse_id"], {"_ws": F.coalesce("_np", F.lit(0.0)), "_wc": F.col("_nw")}, [TE_DAYS], skew)
-    df = with_ewma(df, ["horse_id"], ORDER, {"_e": ("_np", TE_HALF_LIFE)}, skew)
-    df = df.select("*", encoded("_s", "_c").alias("horse_te_norm_pos"),
-                   encoded(f"_ws_{TE_DAYS}d", f"_wc_{TE_DAYS}d").alias(f"horse_te_norm_pos_{TE_DAYS}d"),
+    df = calendar_sums(df, ["entrant_id"], {"_ws": F.coalesce("_np", F.lit(0.0)), "_wc": F.col("_nw")}, [TE_DAYS], skew)
+    df = with_ewma(df, ["entrant_id"], ORDER, {"_e": ("_np", TE_HALF_LIFE)}, skew)
+    df = df.select("*", encoded("_s", "_c").alias("entrant_te_norm_pos"),
+                   encoded(f"_ws_{TE_DAYS}d", f"_wc_{TE_DAYS}d").alias(f"entrant_te_norm_pos_{TE_DAYS}d"),
                    shrink(F.when(F.col("_c") > 0, F.col("_e")).otherwise(TE_PRIOR), "_c", TE_PRIOR, TE_STRENGTH)
-                   .alias("horse_te_ewma")).drop("_s", "_c", "_e", f"_ws_{TE_DAYS}d", f"_wc_{TE_DAYS}d")
+                   .alias("entrant_te_ewma")).drop("_s", "_c", "_e", f"_ws_{TE_DAYS}d", f"_wc_{TE_DAYS}d")
     for prefix, keys, windowed in (
         ("jockey", ["jockey"], True), ("trainer", ["trainer"], True), ("track", ["track"], False),
         ("going", ["going"], True), ("jt", ["jockey", "trainer"], False),

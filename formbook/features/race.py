@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formbook.features.horse import drop_helpers, flag
+from formbook.features.entrant import drop_helpers, flag
 from formbook.features.people import soft_ground
 from formbook.functions.numeric import clip, cut, finite, rate
 from formbook.plans.ladder import attach_race_ladder
@@ -29,15 +29,15 @@ def add_market_features(df: DataFrame, skew: SkewProfile | None = None) -> DataF
 def add_trainer_runner_intent_features(df: DataFrame, skew=None) -> DataFrame:
     """A stable's several runners in one race: pecking order and market share."""
     stable = ["race_id", "trainer"]
-    elo = "horse_elo" in df.columns
+    elo = "entrant_elo" in df.columns
     df = df.withColumn("_imp", F.coalesce(1.0 / F.when(F.col("odds") != 0, F.col("odds")), F.lit(0.0)))
     totals = {"same_trainer_runners": F.count("trainer"), "_bo": F.max("official_rating"), "_mo": F.min("odds"),
               "_ti": F.sum("_imp")}
     ranks = {"trainer_runner_rank_by_or": ("min", "official_rating", True),
              "trainer_runner_rank_by_odds": ("min", "odds", False)}
     if elo:
-        totals["_be"] = F.max("horse_elo")
-        ranks["trainer_runner_rank_by_elo"] = ("min", "horse_elo", True)
+        totals["_be"] = F.max("entrant_elo")
+        ranks["trainer_runner_rank_by_elo"] = ("min", "entrant_elo", True)
     df = with_ranks(with_totals(df, stable, totals, skew), stable, ranks, skew=skew)
     several = F.col("same_trainer_runners") > 1
 
@@ -59,7 +59,7 @@ def add_trainer_runner_intent_features(df: DataFrame, skew=None) -> DataFrame:
     ]
     if elo:
         cols += [first("elo").alias("trainer_first_string_by_elo"),
-                 (F.col("horse_elo") - F.col("_be")).alias("trainer_elo_vs_best_stablemate"),
+                 (F.col("entrant_elo") - F.col("_be")).alias("trainer_elo_vs_best_stablemate"),
                  (first("odds") * first("elo")).alias("trainer_first_string_odds_elo_agree"),
                  gap("odds", "elo").alias("trainer_string_disagreement_elo_odds")]
     if "is_stable_jockey" in df.columns:
@@ -119,11 +119,11 @@ def add_race_context_features(df: DataFrame, skew=None) -> DataFrame:
 
 def add_field_quality_features(df: DataFrame, skew=None) -> DataFrame:
     """Strength and spread of the field by official rating and by Elo."""
-    for col, name in (("official_rating", "or"), ("horse_elo", "elo")):
+    for col, name in (("official_rating", "or"), ("entrant_elo", "elo")):
         if col not in df.columns:
             continue
         df = with_ranks(df, RACE, {"_first": ("first", col, True), "_rank": ("min", col, True),
-                                   "_pct": ("pct", col, False)}, tie="horse_id", skew=skew)
+                                   "_pct": ("pct", col, False)}, tie="entrant_id", skew=skew)
         df = with_totals(df, RACE, {
             "_mean": F.avg(col), "_sd": F.stddev_samp(col), "_max": F.max(col), "_min": F.min(col),
             "_two": F.max(F.when(F.col("_first") == 2, F.col(col)))}, skew)
@@ -210,16 +210,16 @@ def apply_conditional_feature_masks(df: DataFrame, skew=None) -> DataFrame:
 def add_interaction_features(df: DataFrame, skew=None) -> DataFrame:
     """Products and differences of strong signals, for the columns that are present."""
     c = F.col
-    elo = (c("horse_elo") - 1500) / 400
+    elo = (c("entrant_elo") - 1500) / 400
     pace = 1.0 - clip("speed_fig_avg_5", 0, 2)
     intent = [x for x in ("class_dropped", "jockey_upgrade", "first_time_headgear") if x in df.columns]
     terms: dict[str, tuple[str, Column]] = {
         "fresh_x_dropped": ("days_log class_dropped", c("days_log") * c("class_dropped")),
-        "going_wr_x_runs": ("horse_going_win_rate horse_going_runs",
-                            c("horse_going_win_rate") * F.log1p("horse_going_runs")),
+        "going_wr_x_runs": ("entrant_going_win_rate entrant_going_runs",
+                            c("entrant_going_win_rate") * F.log1p("entrant_going_runs")),
         "jockey_elo_x_fav": ("jockey_elo is_favourite", (c("jockey_elo") - 1500) * c("is_favourite")),
-        "elo_x_class_drop": ("horse_elo class_dropped", (c("horse_elo") - 1500) * c("class_dropped")),
-        "speed_x_dist_wr": ("speed_fig_avg_5 horse_dist_win_rate", pace * c("horse_dist_win_rate")),
+        "elo_x_class_drop": ("entrant_elo class_dropped", (c("entrant_elo") - 1500) * c("class_dropped")),
+        "speed_x_dist_wr": ("speed_fig_avg_5 entrant_dist_win_rate", pace * c("entrant_dist_win_rate")),
         "or_vs_field_x_hcap": ("field_avg_or handicap", (c("official_rating") - c("field_avg_or")) * c("handicap")),
         "age_x_distance": ("age distance_furlongs", c("age") * c("distance_furlongs")),
         "age_x_soft_going": ("age going", c("age") * c("going").isin("Soft", "Heavy").cast("int")),
@@ -229,29 +229,29 @@ def add_interaction_features(df: DataFrame, skew=None) -> DataFrame:
         "dist_x_class_change": ("distance_change class_change", c("distance_change") * c("class_change")),
         "jockey_up_x_dropped": ("jockey_upgrade class_dropped", c("jockey_upgrade") * c("class_dropped")),
         "close_x_speed": ("close_finish_rate speed_fig_avg_5", c("close_finish_rate") * pace),
-        "mkt_x_win_rate": ("norm_implied_prob horse_win_rate_shrunk",
-                           c("norm_implied_prob") - c("horse_win_rate_shrunk")),
-        "logodds_x_elo": ("log_odds horse_elo", c("log_odds") * elo),
+        "mkt_x_win_rate": ("norm_implied_prob entrant_win_rate_shrunk",
+                           c("norm_implied_prob") - c("entrant_win_rate_shrunk")),
+        "logodds_x_elo": ("log_odds entrant_elo", c("log_odds") * elo),
         "odds_field_x_dropped": ("odds_vs_field class_dropped", c("odds_vs_field") * c("class_dropped")),
         "mkt_x_speed": ("norm_implied_prob speed_fig_avg_5", c("norm_implied_prob") - pace),
         "odds_field_x_jock_elo": ("odds_vs_field jockey_elo", c("odds_vs_field") * (c("jockey_elo") - 1500) / 400),
-        "elo_x_recent_form": ("horse_elo horse_avg_pos_3", elo * (1.0 - clip("horse_avg_pos_3", 1, 8) / 8.0)),
+        "elo_x_recent_form": ("entrant_elo entrant_avg_pos_3", elo * (1.0 - clip("entrant_avg_pos_3", 1, 8) / 8.0)),
         "jockey_trainer_synergy": ("jockey_wr_14d trainer_wr_14d", c("jockey_wr_14d") * c("trainer_wr_14d")),
-        "going_specialist_edge": ("horse_going_win_rate horse_win_rate_shrunk",
-                                  c("horse_going_win_rate") - c("horse_win_rate_shrunk")),
+        "going_specialist_edge": ("entrant_going_win_rate entrant_win_rate_shrunk",
+                                  c("entrant_going_win_rate") - c("entrant_win_rate_shrunk")),
         "form_slope_x_fresh": ("form_slope days_since_last_race",
                                c("form_slope") * flag(c("days_since_last_race") > 30)),
-        "jockey_hot_x_experience": ("jockey_hot_vs_30d horse_prev_races",
-                                    c("jockey_hot_vs_30d") * F.log1p("horse_prev_races")),
-        "dist_x_going_specialist": ("horse_dist_win_rate horse_going_win_rate",
-                                    c("horse_dist_win_rate") * c("horse_going_win_rate")),
+        "jockey_hot_x_experience": ("jockey_hot_vs_30d entrant_prev_races",
+                                    c("jockey_hot_vs_30d") * F.log1p("entrant_prev_races")),
+        "dist_x_going_specialist": ("entrant_dist_win_rate entrant_going_win_rate",
+                                    c("entrant_dist_win_rate") * c("entrant_going_win_rate")),
     }
-    for name, edge in (("elo_x_surface_edge", "horse_surface_specialist_edge"),
-                       ("elo_x_rt_edge", "horse_rt_specialist_edge"),
-                       ("elo_x_dist_cat_edge", "horse_dist_cat_specialist_edge"),
-                       ("elo_x_surface_rt_edge", "horse_surface_rt_edge"),
-                       ("elo_x_surface_dist_edge", "horse_surface_dist_cat_edge")):
-        terms[name] = (f"horse_elo {edge}", elo * c(edge))
+    for name, edge in (("elo_x_surface_edge", "entrant_surface_specialist_edge"),
+                       ("elo_x_rt_edge", "entrant_rt_specialist_edge"),
+                       ("elo_x_dist_cat_edge", "entrant_dist_cat_specialist_edge"),
+                       ("elo_x_surface_rt_edge", "entrant_surface_rt_edge"),
+                       ("elo_x_surface_dist_edge", "entrant_surface_dist_cat_edge")):
+        terms[name] = (f"entrant_elo {edge}", elo * c(edge))
     have = set(df.columns)
     keep = [x for x in df.columns if x not in terms]
     return df.select(*keep, *[e.alias(n) for n, (need, e) in terms.items() if set(need.split()) <= have])

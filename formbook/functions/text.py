@@ -216,7 +216,7 @@ def track_key(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(col(c))), r"\s+", " ")
 
 
-def horse_key(c: str | Column) -> Column:
+def entrant_key(c: str | Column) -> Column:
     return F.regexp_replace(title_case(c), r"\s+", " ")
 
 
@@ -235,8 +235,8 @@ def exchange_track_key(c: str | Column) -> Column:
     return out.otherwise(key)
 
 
-def exchange_horse_key(c: str | Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(horse_key(c)), "[^a-z0-9 ]", ""))
+def exchange_entrant_key(c: str | Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(entrant_key(c)), "[^a-z0-9 ]", ""))
 
 
 def track_from_event(c: str | Column) -> Column:
@@ -245,7 +245,7 @@ def track_from_event(c: str | Column) -> Column:
                                    r"(?i)\s*\d{1,2}(?:st|nd|rd|th)(?:\s+\w{3,})?\s*$", ""))
 
 
-def bare_horse_name(c: str | Column) -> Column:
+def bare_entrant_name(c: str | Column) -> Column:
     """Runner name without cloth number and country code."""
     s = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s*\d+\.\s*", "")
     return F.trim(F.regexp_replace(s, r"\s*\([A-Z]{2,3}\)\s*$", ""))

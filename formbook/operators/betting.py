@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formbook.functions.numeric import clip, col, cut, finite, kelly, log_loss_term, logit, sigmoid, value_threshold
 from formbook.plans.ordered import Running, ordered
-from formbook.plans.skew import SkewProfile
+from formbook.plans.skew import SkewProfile, profile_for
 from formbook.plans.within import with_ranks, with_totals
 
 # Odds band and stake of an each-way bet.
 EW_MIN_ODDS, EW_MAX_ODDS, EW_STAKE = 4.0, 51.0, 2.0
 
 BET_SCHEMA = (
-    "race_date date, race_id long, track string, strategy string, horse_id long, model_prob double, odds double, "
+    "race_date date, race_id long, track string, strategy string, entrant_id long, model_prob double, odds double, "
     "won int, placed int, stake double, pnl double, clv double"
 )
 
@@ -124,12 +124,24 @@ def ew_selected(base: float) -> Column:
 
 def ew_value_bets(df: DataFrame, base: float = 0.05) -> DataFrame:
     """Each-way picks, best place edge first."""
-    return df.where(ew_selected(base)).orderBy(F.desc("place_edge"), "race_id", "horse_id")
+    return df.where(ew_selected(base)).orderBy(F.desc("place_edge"), "race_id", "entrant_id")
 
 
 # ---- place probabilities -------------------------------------------------------
 
-NEWTON_STEPS = 12
+NEWTON_STEPS = 20
+
+
+def _newton(zs: Column, start: Column, k: Column) -> Column:
+    """The shift at which the sigmoids of ``zs`` sum to ``k``; it stays put once the sum is met."""
+
+    def step(d: Column, _: Column) -> Column:
+        sums = F.aggregate(zs, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("v")), lambda a, z: F.transform(
+            F.array(sigmoid(z + d)), lambda p: F.struct((a["s"] + p).alias("s"), (a["v"] + p * (1.0 - p)).alias("v")))[0])
+        return F.transform(F.array(sums), lambda t: F.when(
+            (F.abs(t["s"] - k) >= 1e-8) & (t["v"] >= 1e-12), d - (t["s"] - k) / t["v"]).otherwise(d))[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)
 
 
 def adjust_place_probs(df: DataFrame, paid: str = "ew_places", win_prob: str = "model_prob",
@@ -137,8 +149,9 @@ def adjust_place_probs(df: DataFrame, paid: str = "ew_places", win_prob: str = "
                        skew: SkewProfile | None = None) -> DataFrame:
     """Turn P(top 3) into P(paid place): squeeze in small fields, then shift until the race sums to the places.
 
-    The shift is found by Newton steps for all races at once.  Every step is one
-    group total on the race, so all steps run in the same stage.
+    The shift is found by at most NEWTON_STEPS Newton steps, ending when the race's sum is met.
+    An ordinary race is gathered once into an array, at its first row, and iterated there; in
+    races above the hot-key limit every step is a group total.
     """
     race = ["race_id"]
     p = clip(place_prob, 1e-6, 1.0 - 1e-6)
@@ -150,12 +163,20 @@ def adjust_place_probs(df: DataFrame, paid: str = "ew_places", win_prob: str = "
     z = (F.col("_zm") + squeeze * (F.col("_z") - F.col("_zm"))).alias("_z")
     rest = [c for c in df.columns if c not in ("_z", "_zm")]
     df = df.select(*rest, z, start.alias("_d"))
-    for _ in range(NEWTON_STEPS):
-        s = sigmoid(F.col("_z") + F.col("_d"))
-        df = with_totals(df, race, {"_sum": F.sum(s), "_slope": F.sum(s * (1.0 - s))}, skew)
-        gap = F.col("_sum") - k
-        step = F.when((F.abs(gap) >= 1e-8) & (F.col("_slope") >= 1e-12), gap / F.col("_slope")).otherwise(0.0)
-        df = df.select(*rest, "_z", (F.col("_d") - step).alias("_d"))
+    cold, hot = profile_for(df, race, skew).split(df, race)
+    w = Window.partitionBy(*race)
+    cold = cold.select("*", F.collect_list("_z").over(w).alias("_zs"), F.row_number().over(w.orderBy("_z")).alias("_first"))
+    solved = F.when((F.col("_first") == 1) & (k > 0) & (k < n), _newton(F.col("_zs"), F.col("_d"), k)).when(F.col("_first") == 1, F.col("_d"))
+    cold = cold.withColumn("_d", solved).withColumn("_d", F.max("_d").over(w)).drop("_zs", "_first")
+    if hot is not None:
+        for _ in range(NEWTON_STEPS):
+            s = sigmoid(F.col("_z") + F.col("_d"))
+            hot = with_totals(hot, race, {"_sum": F.sum(s), "_slope": F.sum(s * (1.0 - s))}, skew)
+            gap = F.col("_sum") - k
+            step = F.when((F.abs(gap) >= 1e-8) & (F.col("_slope") >= 1e-12), gap / F.col("_slope")).otherwise(0.0)
+            hot = hot.select(*rest, "_z", (F.col("_d") - step).alias("_d"))
+        cold = cold.unionByName(hot)
+    df = cold
     value = (F.when(k <= 0, 0.0).when(k >= n, F.lit(1.0)).when(F.col("_raw") < 1e-8, k / n)
              .otherwise(sigmoid(F.col("_z") + F.col("_d"))))
     floor = F.when(k <= 0, 0.0).otherwise(F.greatest(value, F.col(win_prob)))
@@ -188,7 +209,7 @@ def bet_table(preds: DataFrame, value_base: float = 0.05, ew_base: float | None
     race = ["race_id"]
     df = with_totals(preds, race, {"_hi": F.max("model_prob"), "_lo": F.min("model_prob"),
                                    "_book": F.sum(1.0 / F.col("odds"))}, skew)
-    df = with_ranks(df, race, {"_pick": ("first", "model_prob", True)}, tie="horse_id", skew=skew)
+    df = with_ranks(df, race, {"_pick": ("first", "model_prob", True)}, tie="entrant_id", skew=skew)
     df = with_value_edges(df, value_base,
                           implied=1.0 / F.col("odds") / F.col("_book") if market_implied else None)
     df = adjust_place_probs(with_ew_terms(df), skew=skew).drop("ew_eligible", "ew_places", "ew_fraction")
@@ -208,11 +229,11 @@ def bet_table(preds: DataFrame, value_base: float = 0.05, ew_base: float | None
         F.when(ew, bet("each_way", F.greatest(placed, F.col("won")), EW_STAKE,
                        ew_pnl("odds", "place_odds", "won", placed)))))
     return df.select("*", F.explode(bets).alias("b")).select(
-        "race_date", "race_id", "track", "b.strategy", "horse_id", "model_prob", "odds", "won", "b.placed", "b.stake",
+        "race_date", "race_id", "track", "b.strategy", "entrant_id", "model_prob", "odds", "won", "b.placed", "b.stake",
         F.col("b.pnl").alias("pnl"), (F.col("model_prob") * F.col("odds")).alias("clv"))
 
 
-BET_ORDER = ("race_date", "race_id", "horse_id")
+BET_ORDER = ("race_date", "race_id", "entrant_id")
 
 
 def with_curves(bets: DataFrame, keys: Sequence[str] = ("strategy",), order: Sequence[str] = BET_ORDER,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formbook.functions.text import (
-    exchange_horse_key, exchange_track_key, horse_key, off_time_key, track_key,
+    exchange_entrant_key, exchange_track_key, entrant_key, off_time_key, track_key,
 )
 
 
@@ -24,7 +24,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
-def fill_pedigree(df: DataFrame, pedigree: DataFrame, key: str = "horse_id",
+def fill_pedigree(df: DataFrame, pedigree: DataFrame, key: str = "entrant_id",
                   cols: Sequence[str] = ("sire", "dam", "damsire")) -> DataFrame:
     """Fill blank pedigree names from the lookup; an existing name wins."""
     dim = pedigree.select(key, *[F.col(c).alias(f"_p_{c}") for c in cols])
@@ -33,15 +33,15 @@ def fill_pedigree(df: DataFrame, pedigree: DataFrame, key: str = "horse_id",
         F.coalesce(F.when(F.trim(c) != "", F.col(c)), F.col(f"_p_{c}")).alias(c) for c in cols])
 
 
-KEYS = ["_k_date", "_k_track", "_k_off", "_k_horse"]
+KEYS = ["_k_date", "_k_track", "_k_off", "_k_entrant"]
 
 
 def with_runner_keys(df: DataFrame, exchange: bool = False, date: str = "race_date", track: str = "track",
-                     off: str = "off_time", horse: str = "horse_name") -> DataFrame:
+                     off: str = "off_time", entrant: str = "entrant_name") -> DataFrame:
     """The four normalised keys that identify a runner across sources."""
-    t, h = (exchange_track_key(track), exchange_horse_key(horse)) if exchange else (track_key(track), horse_key(horse))
+    t, h = (exchange_track_key(track), exchange_entrant_key(entrant)) if exchange else (track_key(track), entrant_key(entrant))
     return df.select("*", F.col(date).cast("date").alias("_k_date"), t.alias("_k_track"),
-                     off_time_key(off).alias("_k_off"), h.alias("_k_horse"))
+                     off_time_key(off).alias("_k_off"), h.alias("_k_entrant"))
 
 
 def attach_by_runner_keys(df: DataFrame, other: DataFrame, cols: Sequence[str], order: Sequence[Column],
@@ -109,14 +109,14 @@ def align_occurrences(left: DataFrame, right: DataFrame, keys: Sequence[str], le
     return a.join(b, [*keys, "occurrence"], "left")
 
 
-def refresh_card(predictions: DataFrame, card: DataFrame, keys: Sequence[str] = ("race_id", "horse_id"),
+def refresh_card(predictions: DataFrame, card: DataFrame, keys: Sequence[str] = ("race_id", "entrant_id"),
                  price: str = "odds") -> DataFrame:
     """Keep runners still on the card and take the card's price where it has one."""
     kept = predictions.join(card.select(*keys, F.col(price).alias("_new")), list(keys))
     return kept.select(*[c for c in predictions.columns if c != price], F.coalesce("_new", price).alias(price))
 
 
-def settle_predictions(predictions: DataFrame, results: DataFrame, keys: Sequence[str] = ("race_id", "horse_id"),
+def settle_predictions(predictions: DataFrame, results: DataFrame, keys: Sequence[str] = ("race_id", "entrant_id"),
                        non_runner: Sequence[str] = ("NR", "WD")) -> DataFrame:
     """``settled`` when the race has results and the runner is in them; non-runners flagged by label."""
     res = results.select(*keys, F.col("finish_position").alias("_fp"), F.col("won").alias("_won"),

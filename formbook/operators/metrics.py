@@ -39,7 +39,7 @@ def calibration_error(df: DataFrame, prob: str = "model_prob", won: str = "won",
     return r.agg((F.sum(F.abs(F.col("mean_pred") - F.col("obs_rate")) * F.col("rows")) / F.sum("rows")).alias("ece"))
 
 
-def ranking_scores(df: DataFrame, score: str = "score", position: str = "finish_position", tie: str = "horse_id",
+def ranking_scores(df: DataFrame, score: str = "score", position: str = "finish_position", tie: str = "entrant_id",
                    skew=None) -> DataFrame:
     """NDCG@1/@3, top-1 accuracy and winner-in-top-3 over races that can be told apart.
 
@@ -69,7 +69,7 @@ def ranking_scores(df: DataFrame, score: str = "score", position: str = "finish_
 
 
 def rank_probability_score(df: DataFrame, prob: str = "model_prob", position: str = "finish_position",
-                           tie: str = "horse_id", skew=None) -> DataFrame:
+                           tie: str = "entrant_id", skew=None) -> DataFrame:
     """Mean over races of the squared shortfall of the cumulative probability of the actual top k."""
     df = df.where(F.col(position) > 0).select("race_id", position, tie, F.col(prob).alias("p"))
     df = with_totals(df, RACE, {"_n": F.count(F.lit(1))}, skew).where("_n >= 2")
@@ -82,7 +82,7 @@ def rank_probability_score(df: DataFrame, prob: str = "model_prob", position: st
 
 
 def decile_calibration(df: DataFrame, prob: str = "model_prob", won: str = "won",
-                       tie: Sequence[str] = ("race_id", "horse_id")) -> DataFrame:
+                       tie: Sequence[str] = ("race_id", "entrant_id")) -> DataFrame:
     """Ten equal-count bins of the sorted probabilities; the last takes the remainder."""
     df = df.select(F.lit(0).alias("_all"), F.col(prob).alias("p"), F.col(won).alias("y"), *tie)
     total = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
@@ -93,7 +93,7 @@ def decile_calibration(df: DataFrame, prob: str = "model_prob", won: str = "won"
         F.avg("p").alias("mean_pred"), F.avg("y").alias("obs_rate"))
 
 
-def place_scores(df: DataFrame, prob: str = "place_prob", raw: str | None = None, tie: str = "horse_id",
+def place_scores(df: DataFrame, prob: str = "place_prob", raw: str | None = None, tie: str = "entrant_id",
                  skew=None) -> DataFrame:
     """Brier (calibrated and raw) and precision of the k best place probabilities per race."""
     raw = raw or prob
@@ -107,7 +107,7 @@ def place_scores(df: DataFrame, prob: str = "place_prob", raw: str | None = None
                   .alias("place_precision"))
 
 
-def top_three_overlap(df: DataFrame, score: str = "score", tie: str = "horse_id", skew=None) -> DataFrame:
+def top_three_overlap(df: DataFrame, score: str = "score", tie: str = "entrant_id", skew=None) -> DataFrame:
     """Share of the predicted top three that finished in the top three, and hits per race."""
     df = df.where(F.col("finish_position") > 0)
     df = with_ranks(df, RACE, {"_r": ("first", score, True)}, tie=tie, skew=skew)
@@ -149,7 +149,7 @@ def model_comparison(df: DataFrame, models: dict[str, str], won: str = "won") ->
                                      F.avg(log_loss_term(y, p)).alias("log_loss"))
 
 
-def ensemble(df: DataFrame, prob: str = "p", keys: Sequence[str] = ("race_id", "horse_id"), skew=None) -> DataFrame:
+def ensemble(df: DataFrame, prob: str = "p", keys: Sequence[str] = ("race_id", "entrant_id"), skew=None) -> DataFrame:
     """Mean of several models' rows per runner, normalised in the race."""
     df = df.groupBy(*keys).agg(F.avg(prob).alias("_m"))
     df = with_totals(df, RACE, {"_t": F.sum("_m")}, skew)
@@ -190,11 +190,13 @@ def stability_index(df: DataFrame, features: Sequence[str], test: Column, bucket
 # ---- metric tables -------------------------------------------------------------
 
 
-def flatten_metrics(df: DataFrame, column: str, keys: Sequence[str], depth: int = 3) -> DataFrame:
-    """Nested JSON metrics to (name, value) rows; names joined by dots, non-numbers left out."""
+def flatten_metrics(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Nested JSON metrics to (name, value) rows; names joined by dots, non-numbers left out.
+
+    One level a round, until no object is left."""
     level = df.select(*keys, F.lit("").alias("name"), F.col(column).alias("json"))
     out = None
-    for _ in range(depth):
+    while out is None or not level.isEmpty():
         entries = F.from_json("json", "map<string,string>")
         rows = level.select(*keys, "name", F.explode(entries).alias("k", "v")).select(
             *keys, F.when(F.col("name") == "", F.col("k")).otherwise(F.concat_ws(".", "name", "k")).alias("name"),
@@ -206,12 +208,23 @@ def flatten_metrics(df: DataFrame, column: str, keys: Sequence[str], depth: int
     return out
 
 
-# Metrics where a higher value is better.
-HIGHER_IS_BETTER = ("ndcg_at_1", "ndcg_at_3", "top1_accuracy", "win_in_top3", "place_precision", "roi")
+# Metrics where a lower value is better; all others are better when higher.
+LOWER_IS_BETTER = (
+    "brier_calibrated",
+    "brier_raw",
+    "brier_score",
+    "ece",
+    "log_loss",
+    "value_bet_brier",
+    "value_bet_log_loss",
+    "rps",
+)
+# Gaps from which a metric is watched, moderate and high.
+WATCH_GAP, MODERATE_GAP, HIGH_GAP = 0.03, 0.08, 0.15
 
 
 def better_when_higher(name: str | Column = "name") -> Column:
-    return (F.col(name) if isinstance(name, str) else name).isin(*HIGHER_IS_BETTER)
+    return ~(F.col(name) if isinstance(name, str) else name).isin(*LOWER_IS_BETTER)
 
 
 def generalisation_gap(oof: DataFrame, validation: DataFrame) -> DataFrame:
@@ -222,7 +235,8 @@ def generalisation_gap(oof: DataFrame, validation: DataFrame) -> DataFrame:
         F.col("validation") - F.col("oof"))
     rel = gap / F.greatest(F.abs("oof"), F.lit(1e-9)) * 100
     return df.select("name", "oof", "validation", gap.alias("gap"), rel.alias("gap_pct"),
-                     F.when(rel <= 5, "ok").when(rel <= 15, "watch").otherwise("overfit").alias("status"))
+                     F.when(gap >= HIGH_GAP, "high").when(gap >= MODERATE_GAP, "moderate")
+                     .when(gap >= WATCH_GAP, "watch").otherwise("healthy").alias("status"))
 
 
 def model_tradeoff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -263,17 +277,26 @@ def concentration(importances: DataFrame, value: str = "importance", name: str =
                      (F.col("_cum") / F.col("_t")).alias("share_of_importance"), gini.alias("gini"))
 
 
-def ranker_agreement(df: DataFrame, prob: str = "model_prob", score: str = "score", tie: str = "horse_id",
+# Mean rank gaps of the top band up to which agreement is strong and moderate.
+TOP_BAND, STRONG_GAP, MODERATE_RANK_GAP = 3, 0.75, 1.5
+
+
+def ranker_agreement(df: DataFrame, prob: str = "model_prob", score: str = "score", tie: str = "entrant_id",
                      skew=None) -> DataFrame:
-    """Rank gap between classifier and ranker per runner, and the race's consensus."""
+    """Classifier against ranker: rank gap and confidence per runner, consensus per race.
+
+    The consensus asks whether both put the same runner first and how far their ranks differ
+    on average among the runners that either puts in the top band."""
     df = with_ranks(df, RACE, {"class_rank": ("min", prob, True), "ranker_rank": ("min", score, True),
                                "_c": ("first", prob, True), "_s": ("first", score, True)}, tie=tie, skew=skew)
-    both = ((F.col("_c") == 1) & (F.col("_s") == 1)).cast("int")
-    top3 = ((F.col("_c") == 1) & (F.col("_s") <= 3)).cast("int")
-    df = with_totals(df, RACE, {"_agree": F.max(both), "_near": F.max(top3)}, skew)
-    gap = F.col("class_rank") - F.col("ranker_rank")
-    return df.select(
-        "*", gap.alias("rank_gap"), (F.abs(gap) >= 3).cast("int").alias("split_flag"),
-        F.when(F.col("_agree") == 1, "agree").when(F.col("_near") == 1, "near").otherwise("split").alias("consensus"),
-        F.when((F.col("_agree") == 1) & (F.abs(gap) <= 1), "high").when(F.abs(gap) <= 2, "medium").otherwise("low")
-        .alias("confidence")).drop("_c", "_s", "_agree", "_near")
+    gap = F.abs(F.col("class_rank") - F.col("ranker_rank"))
+    top = (F.col("class_rank") == 1) != (F.col("ranker_rank") == 1)
+    band = (F.col("class_rank") <= TOP_BAND) | (F.col("ranker_rank") <= TOP_BAND)
+    same = ((F.col("_c") == 1) & (F.col("_s") == 1)).cast("int")
+    df = with_totals(df, RACE, {"_same": F.max(same), "_gap": F.avg(F.when(band, gap))}, skew)
+    confidence = (F.when(top & (F.col("class_rank") == 1), "split").when(gap >= 2, "caution").when(gap <= 0, "aligned")
+                  .when(gap <= 1, "supported"))
+    consensus = (F.when(F.col("_same") == 0, "split").when(F.col("_gap") <= STRONG_GAP, "strong")
+                 .when(F.col("_gap") <= MODERATE_RANK_GAP, "moderate").otherwise("narrow"))
+    return df.select("*", gap.alias("rank_gap"), top.cast("int").alias("disagrees_top"), consensus.alias("consensus"),
+                     confidence.alias("confidence")).drop("_c", "_s", "_same", "_gap")

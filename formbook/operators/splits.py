@@ -12,18 +12,19 @@ from formbook.plans.ordered import Running, ordered
 from formbook.plans.within import with_totals
 
 
-def drop_degenerate_races(df: DataFrame, keep_pending: bool = True) -> DataFrame:
+def drop_degenerate_races(df: DataFrame, pending: str | None = None) -> DataFrame:
     """Leave out races with one runner, one distinct position or odds below 1.01.
 
-    Pending rows (no result yet) survive when ``keep_pending`` is set.
+    They are judged by their rows with a valid position and left out whole, non-finishers
+    included.  Rows marked in the column ``pending`` have no result yet and always stay.
     """
-    pending = F.coalesce("finish_position", F.lit(0)) <= 0
-    races = df.where(~pending).groupBy("race_id").agg(
+    open_ = F.coalesce(F.col(pending).cast("boolean"), F.lit(False)) if pending else F.lit(False)
+    races = df.where(~open_ & (F.col("finish_position") > 0)).groupBy("race_id").agg(
         F.max("num_runners").alias("n"), F.min("finish_position").alias("lo"), F.max("finish_position").alias("hi"),
         F.min("odds").alias("o"))
     bad = races.where((F.col("n") <= 1) | (F.col("lo") == F.col("hi")) | (F.col("o") < 1.01)).select("race_id")
-    good = df.where(~pending).join(bad, "race_id", "left_anti")
-    return good.unionByName(df.where(pending)) if keep_pending else good
+    good = df.where(~open_).join(bad, "race_id", "left_anti")
+    return good.unionByName(df.where(open_)) if pending else good
 
 
 def burn_in(df: DataFrame, months: int = 4) -> DataFrame:

@@ -100,7 +100,7 @@ def calendar_sums(
 ) -> DataFrame:
     """Add ``<name>_<n>d``: sums over the last ``n`` days, today excluded.
 
-    For sparse entities (horses) a range frame over the rows is cheapest; hot
+    For sparse entities (entrants) a range frame over the rows is cheapest; hot
     entities go through the day ladder.
     """
     cold, hot = profile_for(df, keys, skew).split(df, keys)
@@ -115,7 +115,7 @@ def calendar_sums(
 
 def day_start_view(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], skew: SkewProfile | None = None, date: str = "race_date",
-    order: Sequence[str] = ("race_id", "horse_id"),
+    order: Sequence[str] = ("race_id", "entrant_id"),
 ) -> DataFrame:
     """All of an entity's rows on one day take the values of its first row that day."""
     first = F.min_by(F.struct(*cols), F.struct(*order))

@@ -162,6 +162,10 @@ def _chunked(df, keys, order, specs: dict[str, Spec], limit: int) -> DataFrame:
     return out.select(*df.columns, *final)
 
 
+# Sampled values between two cuts of a string column.
+SAMPLED = 16
+
+
 def with_ordinal(df: DataFrame, keys, order, name: str, limit: int) -> DataFrame:
     """Position of every row inside its (hot) key without sorting a key in one task.
 
@@ -176,10 +180,19 @@ def with_ordinal(df: DataFrame, keys, order, name: str, limit: int) -> DataFrame
     w = Window.partitionBy(*keys).orderBy(*order_columns(order))
     if largest <= limit:
         return df.select("*", F.row_number().over(w).cast("long").alias(name))
-    cuts = int(min(2000, -(-largest // limit) * 4))
-    number = _as_number(df, order[0])
-    edges = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(number, [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_edges"))
+    cuts = int(-(-largest // limit) * 4)
+    if dict(df.dtypes).get(order[0] if isinstance(order[0], str) else "") == "string":
+        # Every SAMPLED-th of a hashed sample of the values themselves; more equal values only fill one slice.
+        number = lead
+        rate = max(1, largest // (cuts * SAMPLED))
+        values = df.where(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if "map" not in dict(df.dtypes)[c]]), F.lit(rate)) == 0)
+        edges = values.groupBy(*keys).agg(F.array_distinct(F.filter(
+            F.sort_array(F.collect_list(number)), lambda _, i: (i + 1) % SAMPLED == 0)).alias("_edges"))
+        edges = null_safe_join(groups.drop("n"), edges, keys).withColumn("_edges", F.coalesce("_edges", F.array().cast("array<string>")))
+    else:
+        number = _as_number(df, order[0])
+        edges = df.groupBy(*keys).agg(
+            F.array_distinct(F.percentile_approx(number, [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_edges"))
     # Written once: both uses below must see the same edges.
     edges = edges.checkpoint()
     # Names carry the depth: the last step may cut a slice again.
@@ -219,9 +232,6 @@ def _as_number(df: DataFrame, col: str) -> Column:
         return F.unix_date(col).cast("double")
     if kind.startswith("timestamp"):
         return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if kind == "string":
-        # The first six bytes order a string well enough to place cuts.
-        return F.conv(F.rpad(F.substring(F.hex(F.col(col)), 1, 12), 12, "0"), 16, 10).cast("double")
     return F.col(col).cast("double")
 
 

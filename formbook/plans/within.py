@@ -94,14 +94,11 @@ def with_percent_ranks(
 
 
 def _hot_rank(df, keys, name, kind, col, desc, tie, limit) -> DataFrame:
-    signed = (-F.col(col) if desc else F.col(col)).cast("double")
-    df = df.withColumn("_v", signed)
-    if kind == "first":
-        out = with_ordinal(df.where(F.col("_v").isNotNull()), keys, ["_v", *([tie] if tie else [])], name, limit)
-        rest = df.where(F.col("_v").isNull()).withColumn(name, F.lit(None).cast("long"))
-        return out.unionByName(rest).drop("_v")
+    """Ranks in hot groups, over the values as they are (any ordered type; NaN is the largest)."""
+    df = df.withColumn("_v", F.col(col))
+    some = df.where(F.col("_v").isNotNull())
     # One row per distinct value, then the sizes of the better values.
-    distinct = df.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_t"))
+    distinct = some.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_t"))
     placed = with_ordinal(distinct, keys, ["_v"], "_o", limit)
     placed = placed.withColumn("_blk", F.floor((F.col("_o") - 1) / F.lit(limit)).cast("long"))
     blocks = placed.groupBy(*keys, "_blk").agg(F.sum("_t").alias("_bt"))
@@ -110,11 +107,16 @@ def _hot_rank(df, keys, name, kind, col, desc, tie, limit) -> DataFrame:
     wi = Window.partitionBy(*keys, "_blk").orderBy("_o").rowsBetween(UNBOUNDED, -1)
     placed = placed.withColumn("_loc", F.coalesce(F.sum("_t").over(wi), F.lit(0)))
     placed = null_safe_join(placed, blocks, [*keys, "_blk"])
-    best = F.col("_off") + F.col("_loc") + 1
-    if kind == "min":
-        placed = placed.select(*keys, "_v", best.cast("long").alias(name))
-        return null_safe_join(df, placed, [*keys, "_v"]).drop("_v")
-    sizes = df.groupBy(*keys).agg(F.count("_v").alias("_n"))
-    placed = placed.select(*keys, "_v", (best + (F.col("_t") - 1) / 2.0).alias("_avg"))
-    out = null_safe_join(null_safe_join(df, placed, [*keys, "_v"]), sizes, keys)
-    return out.withColumn(name, F.col("_avg") / F.col("_n")).drop("_v", "_avg", "_n")
+    sizes = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    below = F.col("_off") + F.col("_loc")
+    better = F.col("_n") - below - F.col("_t") if desc else below
+    placed = null_safe_join(placed, sizes, keys).select(*keys, "_v", "_t", "_n", better.alias("_b"))
+    if kind == "first":
+        some = with_ordinal(some, [*keys, "_v"], [tie or "_v"], "_i", limit)
+        out = null_safe_join(some, placed.select(*keys, "_v", "_b"), [*keys, "_v"])
+        out = out.withColumn(name, (F.col("_b") + F.col("_i")).cast("long")).drop("_b", "_i")
+        rest = df.where(F.col("_v").isNull()).withColumn(name, F.lit(None).cast("long"))
+        return out.unionByName(rest).drop("_v")
+    out = null_safe_join(df, placed, [*keys, "_v"])
+    rank = (F.col("_b") + 1).cast("long") if kind == "min" else (F.col("_b") + (F.col("_t") + 1) / 2.0) / F.col("_n")
+    return out.withColumn(name, rank).drop("_v", "_t", "_n", "_b")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from formbook.features.venue import SPEED_METRICS
 from formbook.functions import text as X
 
-RIDE_SCHEMA = """struct<ride_status:string, horse:struct<name:string, horse_reference:struct<id:string>, age:int,
+RIDE_SCHEMA = """struct<ride_status:string, entrant:struct<name:string, entrant_reference:struct<id:string>, age:int,
   sex:struct<type:string>, formsummary:struct<display_text:string>, last_ran_days:int>,
   jockey:struct<name:string>, trainer:struct<name:string>, handicap:string, cloth_number:int, official_rating:int,
   headgear:string, bookmakerOdds:array<struct<bestOdds:boolean, fractionalOdds:string, decimalOdds:double>>,
   betting:struct<current_odds:string>, finish_position:string, finish_distance:string,
-  horse_lifetime_stats:array<struct<run_count:int, win_count:int, place_count:int>>>"""
+  entrant_lifetime_stats:array<struct<run_count:int, win_count:int, place_count:int>>>"""
 
 PAGE_SCHEMA = f"""struct<race_id:long, course:struct<name:string, country:struct<long_name:string>, feed_source:string>,
   prizes:array<struct<position:int, prize:string>>, rides:array<{RIDE_SCHEMA}>>"""
@@ -38,9 +38,11 @@ def first_prize(prizes: Column) -> Column:
                   F.coalesce(number.try_cast("double"), F.lit(0.0))).otherwise(0.0)
 
 
-def flatten_pages(pages: DataFrame, json: str = "json") -> DataFrame:
-    """One row per ride of a race page; non-runners are dropped."""
-    page = pages.select(F.from_json(json, PAGE_SCHEMA).alias("p"))
+def flatten_pages(pages: DataFrame, json: str = "json", subject: str = "entrant") -> DataFrame:
+    """One row per ride of a race page; non-runners are dropped.
+
+    ``subject`` is the word by which the pages' keys call an entrant."""
+    page = pages.select(F.from_json(json, PAGE_SCHEMA.replace("entrant", subject)).alias("p"))
     rides = page.select("p.race_id", "p.course", first_prize(F.col("p.prizes")).alias("prize_money"),
                         F.explode("p.rides").alias("r")).where(F.coalesce("r.ride_status", F.lit("")) != "NON-RUNNER")
     books = F.col("r.bookmakerOdds")
@@ -52,21 +54,21 @@ def flatten_pages(pages: DataFrame, json: str = "json") -> DataFrame:
     label = F.when((place == 0) & ~F.coalesce("r.finish_position", F.lit("")).isin("", "0"),
                    F.upper(F.trim("r.finish_position"))).otherwise("")
     lengths = X.beaten_lengths("r.finish_distance")
-    stats = F.try_element_at(F.col("r.horse_lifetime_stats"), F.lit(1))
+    stats = F.try_element_at(F.col(f"r.{subject}_lifetime_stats"), F.lit(1))
     return rides.select(
-        "race_id", F.col("course.name").alias("track"), "prize_money", F.col("r.horse.name").alias("horse_name"),
-        F.col("r.horse.horse_reference.id").alias("horse_id"), F.coalesce("r.horse.age", F.lit(0)).alias("age"),
-        F.col("r.horse.sex.type").alias("sex"), F.col("r.horse.formsummary.display_text").alias("form"),
-        F.coalesce("r.horse.last_ran_days", F.lit(0)).alias("days_since_last_run"),
+        "race_id", F.col("course.name").alias("track"), "prize_money", F.col(f"r.{subject}.name").alias("entrant_name"),
+        F.col(f"r.{subject}.{subject}_reference.id").alias("entrant_id"), F.coalesce(f"r.{subject}.age", F.lit(0)).alias("age"),
+        F.col(f"r.{subject}.sex.type").alias("sex"), F.col(f"r.{subject}.formsummary.display_text").alias("form"),
+        F.coalesce(f"r.{subject}.last_ran_days", F.lit(0)).alias("days_since_last_run"),
         F.col("r.jockey.name").alias("jockey"), F.col("r.trainer.name").alias("trainer"),
         X.weight_pounds("r.handicap").alias("weight_lbs"), F.coalesce("r.cloth_number", F.lit(0)).alias("draw"),
         F.coalesce("r.official_rating", F.lit(0)).alias("official_rating"), F.col("r.headgear").alias("headgear"),
         F.coalesce(X.fractional_odds(shown), F.lit(5.0)).alias("odds"), place.alias("finish_position"),
         label.alias("finish_pos_label"), (place == 1).cast("int").alias("won"),
         F.when(place == 1, F.coalesce(lengths, F.lit(0.0))).when(place > 1, lengths).alias("lengths_behind"),
-        F.coalesce(stats["run_count"], F.lit(0)).alias("horse_runs"),
-        F.coalesce(stats["win_count"], F.lit(0)).alias("horse_wins"),
-        F.coalesce(stats["place_count"], F.lit(0)).alias("horse_places"))
+        F.coalesce(stats["run_count"], F.lit(0)).alias("entrant_runs"),
+        F.coalesce(stats["win_count"], F.lit(0)).alias("entrant_wins"),
+        F.coalesce(stats["place_count"], F.lit(0)).alias("entrant_places"))
 
 
 DEFINITION = """struct<marketType:string, countryCode:string, eventTypeId:string, eventName:string, marketTime:string,
@@ -107,11 +109,11 @@ def flatten_price_stream(lines: DataFrame, text: str = "value", pos: str = "pos"
     active = F.size(F.filter("d.runners", lambda r: r["status"].isin("WINNER", "LOSER")))
     runners = defs.select("id", "d", active.alias("n_runners"), F.explode("d.runners").alias("r")).where(
         F.coalesce("r.status", F.lit("")) != "REMOVED")
-    name = X.bare_horse_name("r.name")
+    name = X.bare_entrant_name("r.name")
     return runners.select(
         "id", F.col("r.id").alias("runner"), F.substring("d.marketTime", 1, 10).alias("race_date"),
         F.substring("d.marketTime", 12, 5).alias("off_time"), X.track_from_event("d.eventName").alias("track"),
-        name.alias("horse_name"), F.col("r.bsp").alias("bsp"), (F.col("r.status") == "WINNER").cast("int").alias("won"),
+        name.alias("entrant_name"), F.col("r.bsp").alias("bsp"), (F.col("r.status") == "WINNER").cast("int").alias("won"),
         "n_runners").join(last, ["id", "runner"], "left")
 
 
@@ -136,7 +138,7 @@ def flatten_order_book(events: DataFrame, markets: str = "markets") -> DataFrame
     lay = best_price(F.col("r.prices"), ("lay", "lose"), False)
     r = r.withColumn("_b", back).withColumn("_l", lay)
     return r.select(
-        *[c for c in events.columns if c != markets], F.col("r.name").alias("horse_name"),
+        *[c for c in events.columns if c != markets], F.col("r.name").alias("entrant_name"),
         F.col("_b.odds").alias("best_back_odds"), F.col("_b.amount").alias("best_back_available"),
         F.col("_l.odds").alias("best_lay_odds"), F.col("_l.amount").alias("best_lay_available"),
         F.col("r.status").alias("book_status"))
@@ -168,15 +170,15 @@ def event_place_and_time(name: Column, start: Column) -> tuple[Column, Column]:
 
 
 def flatten_speed_map(df: DataFrame, json: str, keys: list[str]) -> DataFrame:
-    """Per-horse metric map ``{metric: {value, rank}}`` to value and rank columns."""
+    """Per-entrant metric map ``{metric: {value, rank}}`` to value and rank columns."""
     m = F.from_json(json, "map<string,struct<value:double,rank:int>>")
     rows = df.select(*keys, m.alias("m"))
     return rows.select(*keys, *[F.col("m").getItem(x)["value"].alias(f"sm_{x}") for x in SPEED_METRICS],
                        *[F.col("m").getItem(x)["rank"].alias(f"sm_{x}_rank") for x in SPEED_METRICS])
 
 
-def pedigree_from_profile(df: DataFrame, json: str, key: str = "horse_id") -> DataFrame:
-    """Sire, dam, damsire and foaling date of a nested horse profile."""
+def pedigree_from_profile(df: DataFrame, json: str, key: str = "entrant_id") -> DataFrame:
+    """Sire, dam, damsire and foaling date of a nested entrant profile."""
     p = F.from_json(json, "struct<sire:struct<name:string>, dam:struct<name:string, sire:struct<name:string>>, "
                           "damsire:struct<name:string>, foaled:string>")
     rows = df.select(key, p.alias("p"))

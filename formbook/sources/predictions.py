@@ -14,7 +14,7 @@ def hundredths(c: Column) -> Column:
 
 def with_predictions(runners: DataFrame, skew=None) -> DataFrame:
     """Add ``model_prob`` (sums to 1 in a race), ``place_prob``, ``score`` and exchange prices."""
-    h, r = F.col("horse_id"), F.col("race_id")
+    h, r = F.col("entrant_id"), F.col("race_id")
     raw = (1.0 / F.col("odds")) * (1.0 + ((h * 31 + r * 17) % 81 - 40) / F.lit(100.0))
     df = with_totals(runners.withColumn("_raw", raw), ["race_id"], {"_tot": F.sum("_raw")}, skew)
     # Nine digits: equal chances compare equal whatever order the total was summed in.
@@ -28,15 +28,15 @@ def with_predictions(runners: DataFrame, skew=None) -> DataFrame:
 
 
 PREDICTIONS_SQL = """
-raw_ as (select *, (1.0 / odds) * (1.0 + ((horse_id * 31 + race_id * 17) % 81 - 40) / cast(100 as double)) as raw_p
+raw_ as (select *, (1.0 / odds) * (1.0 + ((entrant_id * 31 + race_id * 17) % 81 - 40) / cast(100 as double)) as raw_p
   from runners),
 tot_ as (select *, round(raw_p / sum(raw_p) over (partition by race_id), 9) as model_prob from raw_),
 preds as (select * exclude (raw_p), least(0.95, model_prob * 2.2 + 0.02) as place_prob,
-  cast(horse_id * 13 % 29 + race_id % 7 + 10 * model_prob as double) as score,
-  case when (horse_id + race_id) % 5 <> 0 then floor(odds * (1.0 + ((horse_id * 7 + race_id) % 21 - 8)
+  cast(entrant_id * 13 % 29 + race_id % 7 + 10 * model_prob as double) as score,
+  case when (entrant_id + race_id) % 5 <> 0 then floor(odds * (1.0 + ((entrant_id * 7 + race_id) % 21 - 8)
     / cast(50 as double)) * 100) / cast(100 as double) end as bsp,
-  case when (horse_id + race_id) % 5 <> 0 then floor(floor(odds * (1.0 + ((horse_id * 7 + race_id) % 21 - 8)
-    / cast(50 as double)) * 100) / cast(100 as double) * (1.0 + ((horse_id + race_id * 3) % 11 - 5)
+  case when (entrant_id + race_id) % 5 <> 0 then floor(floor(odds * (1.0 + ((entrant_id * 7 + race_id) % 21 - 8)
+    / cast(50 as double)) * 100) / cast(100 as double) * (1.0 + ((entrant_id + race_id * 3) % 11 - 5)
     / cast(100 as double)) * 100) / cast(100 as double) end as price_300s
   from tot_)
 """

@@ -27,7 +27,7 @@ def _mapped(col: str, values: dict[str, str], default: str):
 
 
 def load_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (race, horse) with the columns the feature stages expect."""
+    """One row per (race, entrant) with the columns the feature stages expect."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
         F.min("l_suppkey").alias("jockey"),
         F.round(F.sum("l_extendedprice"), 2).alias("ep"),
@@ -58,8 +58,8 @@ def load_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         r.alias("race_id"),
         "race_date",
-        h.alias("horse_id"),
-        F.concat(F.col("p_name"), F.lit(" "), h.cast("string")).alias("horse_name"),
+        h.alias("entrant_id"),
+        F.concat(F.col("p_name"), F.lit(" "), h.cast("string")).alias("entrant_name"),
         "jockey",
         F.col("p_brand").alias("trainer"),
         F.col("n_name").alias("track"),
@@ -110,8 +110,8 @@ placed as (
          max(case when nf = 0 then ep end) over (partition by l_orderkey) as top_ep
   from base),
 runners as (
-  select l_orderkey as race_id, race_date, l_partkey as horse_id,
-    p_name || ' ' || cast(l_partkey as varchar) as horse_name, jockey, p_brand as trainer, n_name as track,
+  select l_orderkey as race_id, race_date, l_partkey as entrant_id,
+    p_name || ' ' || cast(l_partkey as varchar) as entrant_name, jockey, p_brand as trainer, n_name as track,
     case o_orderpriority when '1-URGENT' then 'Good' when '2-HIGH' then 'Soft' when '3-MEDIUM' then 'Fast'
       when '4-NOT SPECIFIED' then 'Heavy' when '5-LOW' then 'Yielding' else 'Good' end as going,
     case c_mktsegment when 'BUILDING' then 'Hurdle' when 'MACHINERY' then 'Chase' else 'Flat' end as race_type,
