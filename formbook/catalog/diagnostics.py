@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from formbook.catalog.betting import _BETS, _PRE, BY_RACE, PATH_KEYS_SQL, WITH_PREDS, bets, predictions
+from formbook.catalog.features_race import PACE_SQL
 from formbook.catalog.features_entrant import KEY, dbls, ints, pick
 from formbook.catalog.parsing import BOOK_SQL, order_books
 from formbook.catalog.registry import WITH_RUNNERS, i64, query, r6, runner_skew, runner_table
@@ -441,7 +442,10 @@ def _(spark, sf):
     return pick(df, "", "c_2_0 c_4_0 c_6_0", ["value_threshold"])
 
 
-@query("pace_report", "B26")
+@query("pace_report", "B26", f"""{PACE_SQL}, g as (select *, coalesce(fr, false) as a, coalesce(fr, false) and nf_ = 1 as l,
+  coalesce(cl, false) as c, coalesce(greatest(bias, 0) * nf_ / num_runners >= 0.08, false) as u from f)
+select race_id, entrant_id, {ints(pace_role='a::int + 2 * l::int + 4 * c::int + 8 * u::int', n_pushers='nf_',
+  n_closers=f'sum(c::int) {BY_RACE}', pace_state='case when nf_ = 1 then 2 when nf_ >= 3 then 1 else 0 end')} from g""")
 def _(spark, sf):
     from formbook.catalog.features_race import _with_metrics
     skew = runner_skew(spark, sf)

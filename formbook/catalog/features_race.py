@@ -150,7 +150,7 @@ def _(spark, sf):
                         "sm_fsp_avg_3_vs_field sm_speed_score")
 
 
-@query("pace_style", "E16 E15 W14", f"""{WITH_FLAGS}, {speed_metrics_sql()}, j as (
+PACE_SQL = f"""{WITH_FLAGS}, {speed_metrics_sql()}, j as (
   select r.*, m.* exclude (race_id, entrant_id) from r left join metrics m using (race_id, entrant_id)),
 a as (select *, {_SM3['entry_speed']} as e3, {_SM3['top_speed']} as t3, {_SM3['acceleration']} as a3,
   {_SM3['fsp']} as f3 from j),
@@ -162,7 +162,10 @@ c as (select *, case when ev is not null or tv is not null or av is not null the
 d as (select *, round(ix, 9) >= round(avg(ix) {BY_RACE} + 0.35 * coalesce(stddev_samp(ix) {BY_RACE}, 0), 9)
     and ix > 1e-9 as fr, round(ix, 9) <= round(avg(ix) {BY_RACE} - 0.35 * coalesce(stddev_samp(ix) {BY_RACE}, 0), 9)
     and bias > 1e-9 as cl from c),
-f as (select *, sum(coalesce(cast(fr as integer), 0)) {BY_RACE} as nf_ from d)
+f as (select *, sum(coalesce(cast(fr as integer), 0)) {BY_RACE} as nf_ from d)"""
+
+
+@query("pace_style", "E16 E15 W14", f"""{PACE_SQL}
 select race_id, entrant_id, {ints(field_pace_pressure='nf_', pace_front_runner_flag='coalesce(fr, false)',
   pace_closer_flag='coalesce(cl, false)', lone_speed_flag='coalesce(fr, false) and nf_ = 1', hot_pace_flag='nf_ >= 3')},
   {dbls(pace_style_index='ix', pace_finish_bias='bias', pace_gap_to_leader=f'ix - max(ix) {BY_RACE}',
