@@ -52,15 +52,16 @@ def _(spark, sf):
     return T.new_rows(batch.unionByName(batch.where("entrant_id % 3 = 0")), stored).select(*KEY, i64("finish_position"))
 
 
-@query("missing_days", "S5 S6 S7 X2", f"""{WITH_RUNNERS}, k as (select distinct race_date from runners where track = 'NATION_3'),
-c as (select unnest(generate_series(date '1998-01-01', date '1998-06-30', interval 1 day))::date as race_date)
-select race_date, 'missing' as kind from c where race_date not in (select race_date from k)
-union all select unnest(generate_series(m + interval 1 day, timestamp '2001-08-20', interval 1 day))::date, 'gap'
-from (select max(race_date) as m from k)""")
+@query("missing_days", "S5 S6 S7 X2", f"""{WITH_RUNNERS}, k as (select distinct track, race_date from runners),
+c as (select track, unnest(generate_series(date '1998-01-01', date '1998-06-30', interval 1 day))::date as race_date
+  from (select distinct track from k))
+select track, race_date, 'missing' as kind from c anti join k using (track, race_date)
+union all select track, unnest(generate_series(m + interval 1 day, timestamp '2001-08-20', interval 1 day))::date, 'gap'
+from (select track, max(race_date) as m from k group by 1)""")
 def _(spark, sf):
-    df = runner_table(spark, sf).where("track = 'NATION_3'")
-    a = T.missing_dates(df, day("1998-01-01"), day("1998-06-30")).withColumn("kind", F.lit("missing"))
-    return a.unionByName(T.gap_days(df, day("2001-08-21")).withColumn("kind", F.lit("gap")))
+    df = runner_table(spark, sf)
+    a = T.missing_dates(df, day("1998-01-01"), day("1998-06-30"), keys=["track"]).withColumn("kind", F.lit("missing"))
+    return a.unionByName(T.gap_days(df, day("2001-08-21"), keys=["track"]).withColumn("kind", F.lit("gap")))
 
 
 @query("table_summary", "S8 S22 A19", f"""{WITH_RUNNERS} select {ints(rows='count(*)', dates='count(distinct race_date)',
@@ -250,13 +251,17 @@ def _(spark, sf):
                 ["direction", "edge_band"])
 
 
-@query("weak_segments", "B20 F9 A7", f"""{_DIS}, l as (select unnest(['field_band', 'hcap', 'going']) as segment, unnest([
+@query("weak_segments", "B20 F9 A7", f"""{_DIS}, l as (select unnest(['field_band', 'hcap', 'going', 'dist_band', 'odds_band', 'race_type', 'race_class']) as segment, unnest([
   case when num_runners <= 7 then '1-7' when num_runners <= 11 then '8-11' when num_runners <= 15 then '12-15' else '16+' end,
-  case when handicap > 0 then 'Handicap' else 'Non-Hcap' end, going]) as value, model_prob as m, market_prob as k, won from x)
+  case when handicap > 0 then 'Handicap' else 'Non-Hcap' end, going, case when distance_furlongs <= 0 or distance_furlongs > 99
+    then null when distance_furlongs <= 6.5 then 'Sprint' when distance_furlongs <= 8.5 then 'Mile'
+    when distance_furlongs <= 11.5 then 'Middle' else 'Staying' end, case when odds <= 0 then null when odds <= 3 then '<3'
+    when odds <= 6 then '3-6' when odds <= 11 then '6-11' when odds <= 21 then '11-21' else '21+' end, race_type, race_class])
+  as value, model_prob as m, market_prob as k, won from x)
 select segment, value, {ints(n='count(*)')}, {dbls(gap='avg((m - won) * (m - won)) - avg((k - won) * (k - won))')}
-from l group by 1, 2 having count(*) >= 200""")
+from l where value is not null group by 1, 2 having count(*) >= 200""")
 def _(spark, sf):
-    df = D.weak_segments(D.with_bands(disagreement(spark, sf)), ["field_band", "hcap", "going"])
+    df = D.weak_segments(D.with_bands(disagreement(spark, sf)))
     return pick(df, "n", "gap", ["segment", "value"])
 
 
@@ -434,12 +439,11 @@ def _(spark, sf):
 
 
 @query("grid_heatmap", "A16 T4", f"""{_PRE}, {PATH_KEYS_SQL} select value_threshold, {dbls(
-  c_2_0='max(case when min_odds = 2 then pnl end)', c_4_0='max(case when min_odds = 4 then pnl end)',
-  c_6_0='max(case when min_odds = 6 then pnl end)')} from vh group by 1""")
+  **{f'c_{k}_0': f'max(case when min_odds = {k} then pnl end)' for k in range(2, 7)})} from vh group by 1""")
 def _(spark, sf):
     pre = G.analysis_columns(predictions(spark, sf), skew=runner_skew(spark, sf))
-    df = D.parameter_heatmap(G.grid_search_flat(pre), "value_threshold", "min_odds", [2.0, 4.0, 6.0], "value_pnl")
-    return pick(df, "", "c_2_0 c_4_0 c_6_0", ["value_threshold"])
+    df = D.parameter_heatmap(G.grid_search_flat(pre), "value_threshold", "min_odds", G.DEFAULT_GRID["min_odds"], "value_pnl")
+    return pick(df, "", "c_2_0 c_3_0 c_4_0 c_5_0 c_6_0", ["value_threshold"])
 
 
 @query("pace_report", "B26", f"""{PACE_SQL}, g as (select *, coalesce(fr, false) as a, coalesce(fr, false) and nf_ = 1 as l,

@@ -12,6 +12,7 @@ from formbook.functions.numeric import bin_index, clip, log_loss_term
 from formbook.operators.betting import places_paid
 from formbook.operators.splits import relevance
 from formbook.plans.ordered import Running, ordered, with_ordinal
+from formbook.plans.quantiles import exact_percentiles
 from formbook.plans.within import with_ranks, with_totals
 from formbook.session import hot_row_limit
 
@@ -169,8 +170,7 @@ def stability_index(df: DataFrame, features: Sequence[str], test: Column, bucket
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")
     ).select("t", "x.feature", "x.v").where(F.col("v").isNotNull())
     steps = [i / buckets for i in range(buckets + 1)]
-    edges = long.where(~F.col("t")).groupBy("feature").agg(
-        F.array_distinct(F.percentile("v", F.array(*[F.lit(s) for s in steps]))).alias("edges"))
+    edges = exact_percentiles(long.where(~F.col("t")), "v", steps, ["feature"]).select("feature", F.array_distinct("q").alias("edges"))
     # One row per feature.
     edges = edges.where(F.size("edges") >= 3)
     inside = F.col("v").between(F.element_at("edges", 1) - 1e-9, F.element_at("edges", -1) + 1e-9)

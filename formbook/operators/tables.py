@@ -32,9 +32,11 @@ def read_tolerant(spark: SparkSession, path: str, wanted: Sequence[str]) -> Data
 
 
 def write_runners(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned sink: the date filter of later scans prunes year and month folders."""
+    """Partitioned sink: the date filter of later scans prunes year and month folders.
+
+    Rows are gathered by month, but a large month is split into several tasks."""
     (df.withColumn("year", F.year("race_date")).withColumn("month", F.month("race_date"))
-     .repartition("year", "month").write.mode(mode).partitionBy("year", "month").parquet(path))
+     .hint("rebalance", "year", "month").write.mode(mode).partitionBy("year", "month").parquet(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -60,17 +62,18 @@ def new_rows(batch: DataFrame, stored: DataFrame, keys: Sequence[str] = ("race_i
     return latest_per_key(fresh, keys, [F.col(c) for c in (order or sorted(rest))])
 
 
-def missing_dates(df: DataFrame, start: Column, end: Column, date: str = "race_date") -> DataFrame:
-    """Calendar days of the window without a row."""
-    calendar = df.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias(date))
-    return calendar.join(df.select(date).distinct(), date, "left_anti")
+def missing_dates(df: DataFrame, start: Column, end: Column, date: str = "race_date", keys: Sequence[str] = ()) -> DataFrame:
+    """Calendar days of the window without a row, for each key (for the whole table without keys)."""
+    each = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    calendar = each.select(*keys, F.explode(F.sequence(start, end)).alias(date))
+    return calendar.join(df.select(*keys, date).distinct(), [*keys, date], "left_anti")
 
 
-def gap_days(df: DataFrame, target: Column, date: str = "race_date") -> DataFrame:
-    """Days between the last stored day and the target day, both excluded."""
-    last = df.agg(F.max(date).alias("_m"))
+def gap_days(df: DataFrame, target: Column, date: str = "race_date", keys: Sequence[str] = ()) -> DataFrame:
+    """Days between the last stored day and the target day, both excluded, for each key."""
+    last = df.groupBy(*keys).agg(F.max(date).alias("_m"))
     return last.where(F.date_add("_m", 1) <= F.date_sub(target, 1)).select(
-        F.explode(F.sequence(F.date_add("_m", 1), F.date_sub(target, 1))).alias(date))
+        *keys, F.explode(F.sequence(F.date_add("_m", 1), F.date_sub(target, 1))).alias(date))
 
 
 def table_summary(df: DataFrame) -> DataFrame:

@@ -93,24 +93,30 @@ def with_percent_ranks(
     return out.unionByName(hot)
 
 
-def _hot_rank(df, keys, name, kind, col, desc, tie, limit) -> DataFrame:
-    """Ranks in hot groups, over the values as they are (any ordered type; NaN is the largest)."""
-    df = df.withColumn("_v", F.col(col))
-    some = df.where(F.col("_v").isNotNull())
-    # One row per distinct value, then the sizes of the better values.
-    distinct = some.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_t"))
-    placed = with_ordinal(distinct, keys, ["_v"], "_o", limit)
+def value_ranges(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
+    """(keys, value, _t, _below, _n): rows of each distinct non-null value, rows below it, rows of the key.
+
+    Counts are combined before the shuffle; distinct values are placed by slices and summed up
+    block by block, so no task sorts a key that holds more than ``limit`` values."""
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
+    placed = with_ordinal(distinct, keys, [value], "_o", limit)
     placed = placed.withColumn("_blk", F.floor((F.col("_o") - 1) / F.lit(limit)).cast("long"))
     blocks = placed.groupBy(*keys, "_blk").agg(F.sum("_t").alias("_bt"))
     wk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(UNBOUNDED, -1)
-    blocks = blocks.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wk), F.lit(0)).alias("_off"))
+    total = F.sum("_bt").over(Window.partitionBy(*keys))
+    blocks = blocks.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wk), F.lit(0)).alias("_off"), total.alias("_n"))
     wi = Window.partitionBy(*keys, "_blk").orderBy("_o").rowsBetween(UNBOUNDED, -1)
     placed = placed.withColumn("_loc", F.coalesce(F.sum("_t").over(wi), F.lit(0)))
     placed = null_safe_join(placed, blocks, [*keys, "_blk"])
-    sizes = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.col("_off") + F.col("_loc")
-    better = F.col("_n") - below - F.col("_t") if desc else below
-    placed = null_safe_join(placed, sizes, keys).select(*keys, "_v", "_t", "_n", better.alias("_b"))
+    return placed.select(*keys, value, "_t", (F.col("_off") + F.col("_loc")).alias("_below"), "_n")
+
+
+def _hot_rank(df, keys, name, kind, col, desc, tie, limit) -> DataFrame:
+    """Ranks in hot groups, over the values as they are (any ordered type; NaN is the largest)."""
+    df = df.withColumn("_v", F.col(col))
+    some = df.where(F.col("_v").isNotNull())
+    better = F.col("_n") - F.col("_below") - F.col("_t") if desc else F.col("_below")
+    placed = value_ranges(some, keys, "_v", limit).select(*keys, "_v", "_t", "_n", better.alias("_b"))
     if kind == "first":
         some = with_ordinal(some, [*keys, "_v"], [tie or "_v"], "_i", limit)
         out = null_safe_join(some, placed.select(*keys, "_v", "_b"), [*keys, "_v"])

@@ -85,3 +85,31 @@ def test_expanding_median_with_small_leaves(rows):
         past = [r["v"] for r in data if r["k"] == k and r["day"] < day and r["v"] is not None]
         want = statistics.median(past) if past else None
         assert got.get((k, datetime.date(1970, 1, 1) + datetime.timedelta(days=day))) == want
+
+
+def test_ranks_of_any_type(spark):
+    import datetime
+    rnd = random.Random(8)
+    data = []
+    for i in range(120):
+        n = rnd.randint(0, 12)
+        data.append(("a" if i < 80 else "b", i, datetime.date(2020, 1, 1) + datetime.timedelta(n), f"common prefix {n:02d}",
+                     (1 << 60) + n, float("nan") if n == 7 else None if n == 8 else float(n)))
+    rows = spark.createDataFrame(data, "k string, id long, d date, s string, l long, x double").cache()
+    cases = {"r_d": ("min", "d", True), "r_s": ("first", "s", True), "r_l": ("min", "l", False), "r_x": ("min", "x", True)}
+    got = both(rows, ("k",), lambda s: with_ranks(rows, ["k"], cases, tie="id", skew=s).select("k", "id", *cases))
+    assert len({(r.k, r.r_s) for r in got}) == len(got)
+
+
+def test_exact_percentiles(spark, rows):
+    from formbook.plans.quantiles import exact_median, exact_percentiles
+    from formbook.session import HOT_ROWS_CONF
+    steps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = rows.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(s) for s in steps])).alias("q")).collect()
+    for limit in ("1000000", "9"):
+        spark.conf.set(HOT_ROWS_CONF, limit)
+        got = {r.k: r.q for r in exact_percentiles(rows, "v", steps, ["k"]).collect()}
+        assert got == {r.k: pytest.approx(r.q) for r in want}
+        assert exact_median(rows, "v", "m").first().m == pytest.approx(rows.agg(F.median("v")).first()[0])
+    spark.conf.unset(HOT_ROWS_CONF)
+    assert exact_median(rows.where("false"), "v", "m").first().m is None
