@@ -37,10 +37,10 @@ ORDER = 6
 DISCOUNT = 0.75
 PRIOR = 50.0
 LETTERS = 256  # the uniform model under the shared one
-MAX_GRAMS = 600_000  # letter sequences of the model, the most frequent ones
+MAX_GRAMS = 150_000  # letter sequences of the model, the most frequent ones
 CALIBRATION = 20_000  # labelled texts to calibrate on, about
 BROADCAST_ROWS = 2_000_000  # ids with labels are broadcast up to this many (16 bytes each)
-REMEMBERED = 300_000  # words remembered by a worker
+REMEMBERED = 150_000  # words remembered by a worker
 EXCESS = 1.0  # log-likelihood difference from which a word stands out
 FOLDS, HELD_OUT, CALIBRATED = 4, 2, 3
 THRESHOLD = 0.3
@@ -254,8 +254,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Classifier:
     """Models from the rows where ``allowed`` holds of doc_id, calibrated on one fold of them."""
     rows = stored(labelled(docs, labels, allowed), "labelled")
     counts = stored(gram_counts(rows.where(F.col("fold") != CALIBRATED)), "grams")
-    kept = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(MAX_GRAMS).collect()
-    model = LetterModel.of([(r["gram"], r["toxic"], r["ordinary"]) for r in kept])
+    kept = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(MAX_GRAMS).select("gram", "toxic", "ordinary").toArrow()
+    model = LetterModel.of(list(zip(*(c.to_pylist() for c in kept.columns))))
     fold = rows.where(F.col("fold") == CALIBRATED)
     share = CALIBRATION / max(1, fold.count())
     sample = fold.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
