@@ -284,7 +284,7 @@ def _(spark, sf):
     return pick(df, "value_bets", "value_pnl", ["value_threshold", "min_odds", "kelly_fraction"], digits=2)
 
 
-@query("strategy_grid_validated", "B14 J16 T4 F9", f"""{_PRE}, {_AXES},
+@query("strategy_grid_validated", "B14 J16 F9", f"""{_PRE}, {_AXES},
 pa as (select * from pre_ where race_date < date '1998-06-01'), pb as (select * from pre_ where race_date >= date '1998-06-01'),
 {_VHALF.format(src='pa')}, {_EHALF.format(src='pa')},
 {_VHALF.format(src='pb').replace('vh as', 'vh2 as')}, {_EHALF.format(src='pb').replace('eh as', 'eh2 as')},

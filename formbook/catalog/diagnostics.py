@@ -73,9 +73,23 @@ def _(spark, sf):
                 ["first_date", "last_date"])
 
 
-@query("content_fingerprint", "S21 U7")
-def _(spark, sf):
-    df = runner_table(spark, sf)
+_PRINTED = ("age dam damsire distance_furlongs draw entrant_id entrant_name finish_pos_label finish_position going handicap "
+            "jockey lengths_behind num_runners odds off_minute official_rating prize_money race_class race_date race_id "
+            "race_type sex sire surface track trainer weight_lbs won").split()
+_DOUBLES = {"distance_furlongs", "lengths_behind", "odds", "official_rating", "prize_money", "weight_lbs"}
+_ROW_TEXT = " || '|' || ".join("coalesce({}, '\\N')".format(
+    f"cast(cast(round({c} * 10000) as bigint) as varchar)" if c in _DOUBLES else f"cast({c} as varchar)") for c in _PRINTED)
+
+
+@query("content_fingerprint", "S21 U7", f"""{WITH_RUNNERS}, t as (select handicap, race_date, cast('0x' || substr(md5({_ROW_TEXT}), 1, 12) as bigint) as h from runners),
+p as (select 'all' as part, * from t union all select 'handicaps', * from t where handicap = 1),
+s as (select part, count(*) as n, cast(sum(h % 2147483648) as bigint) as a, bit_xor(h) as x, cast(min(race_date) as varchar) as lo,
+  cast(max(race_date) as varchar) as hi from p group by 1)
+select part, {ints(rows='n', h1='a', h2='x')}, lo, hi,
+  sha1('{','.join(_PRINTED)}' || '|' || n || '|' || a || '|' || x || '|' || lo || '|' || hi) as key from s""")
+def _(spark, sf):
+    # The check builds headgear in its parsed form only.
+    df = runner_table(spark, sf).drop("headgear")
     return T.fingerprint(df).withColumn("part", F.lit("all")).unionByName(
         T.fingerprint(df.where("handicap = 1")).withColumn("part", F.lit("handicaps")))
 
@@ -88,7 +102,7 @@ def _(spark, sf):
     return df.select("column", r6("missing_pct"))
 
 
-@query("cheapest_price_merge", "S16 X1 T5 S20", f"""{WITH_PREDS}, u as (select race_id, entrant_id, bsp as price from preds
+@query("cheapest_price_merge", "S16 X1 T5", f"""{WITH_PREDS}, u as (select race_id, entrant_id, bsp as price from preds
   union all select race_id, entrant_id, price_300s from preds where entrant_id % 2 = 0)
 select race_id, entrant_id, {dbls(price='min(price)')} from u group by 1, 2""")
 def _(spark, sf):
@@ -146,7 +160,7 @@ _REASON = """case when (entrant_id + race_id) % 4 = 0 then 'no_key_match' when e
   'key_match_but_no_metrics' else 'key_match' end"""
 
 
-@query("coverage_audit", "J11 A8 F8", f"""{WITH_RUNNERS}, k as (select *, {_REASON} as reason from runners)
+@query("coverage_audit", "J11 A8", f"""{WITH_RUNNERS}, k as (select *, {_REASON} as reason from runners)
 select race_type, reason, {ints(rows='count(*)')}, {dbls(pct='count(*) * 100.0 / sum(count(*)) over (partition by race_type)')}
 from k group by 1, 2""")
 def _(spark, sf):
@@ -438,7 +452,7 @@ def _(spark, sf):
     return D.yearly_ranges(runner_table(spark, sf)).select(i64("year"), "start", "end")
 
 
-@query("grid_heatmap", "A16 T4", f"""{_PRE}, {PATH_KEYS_SQL} select value_threshold, {dbls(
+@query("grid_heatmap", "A16", f"""{_PRE}, {PATH_KEYS_SQL} select value_threshold, {dbls(
   **{f'c_{k}_0': f'max(case when min_odds = {k} then pnl end)' for k in range(2, 7)})} from vh group by 1""")
 def _(spark, sf):
     pre = G.analysis_columns(predictions(spark, sf), skew=runner_skew(spark, sf))

@@ -170,7 +170,7 @@ def _(spark, sf):
     return add_result_flags(runner_table(spark, sf)).select(*KEY, "status")
 
 
-@query("numeric_text_and_narrowing", "P7 P37 P41", f"""{WITH_RUNNERS} select entrant_id, race_id,
+@query("numeric_text_and_narrowing", "P7 P37", f"""{WITH_RUNNERS} select entrant_id, race_id,
   cast(case when (entrant_id + race_id) % 13 <> 0 then odds end as double) as odds, 'smallint' as draw_type from runners
 """.replace("'smallint'", "'tinyint'"))
 def _(spark, sf):

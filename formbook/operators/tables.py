@@ -84,9 +84,16 @@ def table_summary(df: DataFrame) -> DataFrame:
                   F.countDistinct(F.trunc("race_date", "month")).alias("months"))
 
 
+def row_text(df: DataFrame) -> Column:
+    """A row as text that any engine can build: columns by name, doubles in ten-thousandths, nulls as ``\\N``."""
+    kinds = dict(df.dtypes)
+    parts = [F.round(F.col(c) * 10000).cast("long") if kinds[c] in ("double", "float") else F.col(c) for c in sorted(df.columns)]
+    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts])
+
+
 def fingerprint(df: DataFrame, date: str | None = "race_date") -> DataFrame:
     """Order-insensitive content hash of a table, with its size and date range."""
-    h = F.xxhash64(*sorted(df.columns))
+    h = F.conv(F.substring(F.md5(row_text(df).cast("binary")), 1, 12), 16, 10).cast("long")
     aggs = [F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(h, F.lit(2**31))).alias("h1"), F.bit_xor(h).alias("h2")]
     if date:
         aggs += [F.min(date).cast("string").alias("lo"), F.max(date).cast("string").alias("hi")]

@@ -1,6 +1,6 @@
 """Exponentially weighted mean of earlier values.
 
-The reference recurrence ``s = a*x + (1-a)*s`` (seeded by the first value, nulls
+The recurrence ``s = a*x + (1-a)*s`` (seeded by the first value, nulls
 carried over) is linear, so it is a weighted prefix sum.  Observations are cut
 into blocks short enough that the growing weights stay inside a double; a block
 is long enough that only the block before it still has weight.

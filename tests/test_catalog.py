@@ -10,7 +10,8 @@ import __spark_entry__ as contract
 from formbook.catalog.registry import COVERS
 
 ROOT = Path(__file__).resolve().parent.parent
-SAMPLE = ["prior_win_rate_in_race", "market", "bet_table", "price_stream_flattened", "race_reconciliation"]
+SAMPLE = ["prior_win_rate_in_race", "market", "bet_table", "price_stream_flattened", "race_reconciliation", "ranker_agreement",
+          "degenerate_races", "model_gap_tables", "content_fingerprint", "stream_card_changes", "missing_days"]
 
 
 def test_contract_loads_without_a_session():
