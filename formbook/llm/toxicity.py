@@ -9,8 +9,10 @@ over all letters, and how far single words exceed it.  A logistic calibration on
 texts that the models have not seen turns these into a probability.
 
 Learning uses every labelled text once: of near-copies (equal smallest three-word hash and
-label) one speaks for all.  Counts are combined in Spark; the model that goes to the tasks is
-bounded by ``MAX_GRAMS``, the calibration sample by ``CALIBRATION``.  Scoring is a narrow map.
+label) one speaks for all.  Counts, continuation counts and differences of all letter sequences
+are Spark tables, so the model grows with the input and is on no single machine; only the
+calibration sample is bounded, by ``CALIBRATION``.  Scoring cuts the documents into blocks, joins
+the contexts of each block's words with the model and scores the block by what it asked for.
 
 Edge cases: null and wordless texts have neutral features and get the calibrated score of
 such; labels with a null id or label are not used, an id labelled twice is toxic if any row
@@ -22,14 +24,16 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 
 from formbook.llm.common import SPACE, bucket, let, query, stored, table
 
@@ -37,7 +41,7 @@ ORDER = 6
 DISCOUNT = 0.75
 PRIOR = 50.0
 LETTERS = 256  # the uniform model under the shared one
-MAX_GRAMS = 150_000  # letter sequences of the model, the most frequent ones
+BLOCK_ROWS, BLOCK_BYTES = 20_000, 32 << 20  # documents scored by one part of the model, and their bytes
 CALIBRATION = 20_000  # labelled texts to calibrate on, about
 BROADCAST_ROWS = 2_000_000  # ids with labels are broadcast up to this many (16 bytes each)
 REMEMBERED = 150_000  # words remembered by a worker
@@ -124,6 +128,15 @@ class LetterModel:
             grams[g] = math.log((max(toxic - DISCOUNT, 0.0) + a * p) / n) - math.log((max(ordinary - DISCOUNT, 0.0) + b * p) / m)
         return cls(grams, default)
 
+    @classmethod
+    def from_contexts(cls, rows: pa.Table) -> LetterModel:
+        """From rows of ``model_table``."""
+        grams, default = {}, {}
+        for context, letters, values in zip(*(rows[c].to_pylist() for c in ("context", "letters", "differences"))):
+            default[context], *rest = np.frombuffer(values, ">f8").tolist()
+            grams.update((context + c, v) for c, v in zip(letters, rest))
+        return cls(grams, default)
+
     def word(self, word: str) -> float:
         out = 0.0
         for g in grams_of(word):
@@ -150,16 +163,20 @@ class Scorer:
         for w in counts:
             if w not in known:
                 known[w] = self.model.word(w)
-        value = np.array([known[w] for w in counts])
-        letters = sum((len(w) + 1) * n for w, n in counts.items())
-        total = float(value @ np.fromiter(counts.values(), np.float64, len(counts)))
-        excess = float(np.maximum(value - EXCESS, 0.0).sum())
-        return total / letters, excess / len(value), excess / math.sqrt(len(value)), float(np.sort(value)[-3:].mean())
+        return features_of(np.array([known[w] for w in counts]), np.array(list(counts.values())), np.array([len(w) + 1 for w in counts]))
 
 
 FEATURES = 4
 
 
+def features_of(value: np.ndarray, times: np.ndarray, letters: np.ndarray) -> tuple[float, ...]:
+    """Of a text's distinct words: their differences, how often they occur, their letters and ends."""
+    if not len(value):
+        return (0.0,) * FEATURES
+    excess = float(np.maximum(value - EXCESS, 0.0).sum())
+    return float(value @ times) / float(letters @ times), excess / len(value), excess / math.sqrt(len(value)), float(np.sort(value)[-3:].mean())
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton steps with a small ridge: (mean, scale, weights with the constant last)."""
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
@@ -177,8 +194,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[np.ndarra
 
 
 @dataclass
-class Classifier:
-    model: LetterModel
+class Calibration:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -188,6 +204,20 @@ class Classifier:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+@dataclass
+class Classifier:
+    contexts: DataFrame  # of model_table
+    calibration: Calibration
+
+    @property
+    def model(self) -> LetterModel:
+        """The whole model in one place, to look at small ones; scoring does not use it."""
+        return LetterModel.from_contexts(self.contexts.toArrow())
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.calibration.scores(x)
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast if it is known to be small enough."""
     df = stored(df, "labels")
@@ -238,46 +268,129 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return by_word.mapInArrow(grams, "gram string, toxic long, ordinary long").groupBy("gram").agg(*sums)
 
 
-def _features(rows: DataFrame, model: LetterModel) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+def _shared(counts: DataFrame) -> DataFrame:
+    """(gram, p) of ``SharedModel`` for the grams of (gram, n): continuation counts going down, probabilities coming up."""
+    levels = [counts]
+    for _ in range(ORDER - 1):
+        shorter = levels[-1].where(F.length("gram") > 1).groupBy(F.substring("gram", 2, ORDER).alias("gram"))
+        levels.append(stored(shorter.agg(F.count(F.lit(1)).alias("n")), "continuations"))
+    lower = None
+    for level in reversed(levels):
+        within = Window.partitionBy(F.substring("gram", F.lit(1), F.length("gram") - 1))  # as many rows as there are letters
+        level = level.select("gram", "n", F.sum("n").over(within).alias("total"), F.count(F.lit(1)).over(within).alias("types"))
+        uniform = F.lit(1.0 / LETTERS)
+        if lower is None:
+            level, below = level.withColumn("p", F.lit(None).cast("double")), uniform
+        else:
+            level = level.withColumn("suffix", F.substring("gram", 2, ORDER)).join(lower.withColumnRenamed("gram", "suffix"), "suffix", "left")
+            below = F.coalesce("p", uniform)
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * below) / F.col("total")
+        lower = level.select("gram", p.alias("p"))
+    return lower
+
+
+def model_table(counts: DataFrame) -> DataFrame:
+    """``LetterModel`` of all (gram, toxic, ordinary), a row a context: (context, letters, differences).
+
+    The letters are one string; ``differences`` holds the default and those of the letters, eight bytes each.
+    """
+    grams = counts.withColumn("context", F.substring("gram", F.lit(1), F.length("gram") - 1))
+    within = Window.partitionBy("context")
+    for c in ("toxic", "ordinary"):
+        kinds = F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).over(within)
+        grams = grams.withColumns({f"{c}_a": DISCOUNT * kinds + PRIOR, f"{c}_n": F.sum(c).over(within) + PRIOR})
+    grams = grams.join(_shared(counts.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"))), "gram")
+
+    def part(c: str) -> Column:
+        return F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + F.col(f"{c}_a") * F.col("p")) / F.col(f"{c}_n"))
+
+    default = F.log(F.col("toxic_a") / F.col("toxic_n")) - F.log(F.col("ordinary_a") / F.col("ordinary_n"))
+    letters = grams.select("context", default.alias("default"), F.struct(F.substring("gram", -1, 1).alias("c"), (part("toxic") - part("ordinary")).alias("d")).alias("letter"))
+    rows = letters.groupBy("context").agg(F.first("default").alias("default"), F.collect_list("letter").alias("letter"))
+    both = counts.agg(F.coalesce(F.max("toxic") > 0, F.lit(False)) & F.coalesce(F.max("ordinary") > 0, F.lit(False))).first()[0]
+
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [scorer.features(t) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+            letter = b.column(2).to_pylist()
+            values = [np.array([d, *(x["d"] for x in xs)], ">f8").tobytes() for d, xs in zip(b.column(1).to_pylist(), letter)]
+            yield pa.record_batch([b.column(0), pa.array(["".join(x["c"] for x in xs) for xs in letter], pa.string()), pa.array(values, pa.binary())], names=["context", "letters", "differences"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int")
+    rows = rows.mapInArrow(packed, "context string, letters string, differences binary")
+    return stored(rows if both else rows.where("false"), "letter-model")
+
+
+def _with_features(df: DataFrame, text_col: str, kept: list[str], contexts: DataFrame, name: str, kind: DataType, finish: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """The ``kept`` columns of every row and, as ``name``, what ``finish`` makes of the features of its text."""
+    columns = kept if text_col in kept else [*kept, text_col]
+    df = df.select(*[F.col(f"`{c}`") for c in columns])
+    at, width = columns.index(text_col), len(kept)
+    schema = StructType(df.schema.fields[:width]).add(name, kind)
+
+    def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The rows with the numbers of their texts' distinct words (as steps) and how often each occurs, and the words once."""
+        number: dict[str, int] = {}
+        sink, out = pa.BufferOutputStream(), None
+        for b in batches:
+            steps, times = [], []
+            for text in b.column(at).to_pylist():
+                counts = sorted((number.setdefault(w, len(number)), n) for w, n in Counter(words_of(text)).items())
+                steps.append(np.diff([k for k, _ in counts], prepend=0).astype(np.int32))
+                times.append(np.array([n for _, n in counts], np.int32))
+            rows = pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(v, pa.list_(pa.int32())) for v in (steps, times))], names=[str(k) for k in range(width + 2)])
+            out = out or pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+            out.write_batch(rows)
+        out.close()
+        words, asked = " ".join(number).encode(), {g[:-1] for w in number for g in grams_of(w)}
+        values = [uuid.uuid4().int >> 65, sink.getvalue().to_pybytes(), pa.compress(words, "zstd", asbytes=True), len(words), list(asked)]
+        return pa.record_batch([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string())))], names=["block", "data", "words", "size", "contexts"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= BLOCK_ROWS or sum(x.nbytes for x in held) >= BLOCK_BYTES:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        model, out = LetterModel.from_contexts(answers), []
+        for data, words, size in zip(*(blocks[c].to_pylist() for c in ("data", "words", "size"))):
+            known = pa.decompress(words, size, "zstd", asbytes=True).decode().split(" ") if size else []
+            value, letters = np.array([model.word(w) for w in known]), np.array([len(w) + 1 for w in known])
+            for b in pa.ipc.open_stream(data):
+                which = [np.cumsum(np.array(s, np.int64)) for s in b.column(width).to_pylist()]
+                x = [features_of(value[k], np.array(n), letters[k]) if len(k) else (0.0,) * FEATURES for k, n in zip(which, b.column(width + 1).to_pylist())]
+                out.append(pa.RecordBatch.from_arrays([*b.columns[:width], finish(np.array(x, dtype=np.float64).reshape(-1, FEATURES))], names=[*kept, name]))
+        return pa.Table.from_batches(out)
+
+    blocks = stored(df.mapInArrow(cut, "block long, data binary, words binary, size long, contexts array<string>"), "blocks")
+    answers = blocks.select(F.col("block").alias("asked_by"), F.explode("contexts").alias("context")).join(contexts, "context")
+    return blocks.drop("contexts").groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Classifier:
     """Models from the rows where ``allowed`` holds of doc_id, calibrated on one fold of them."""
     rows = stored(labelled(docs, labels, allowed), "labelled")
-    counts = stored(gram_counts(rows.where(F.col("fold") != CALIBRATED)), "grams")
-    kept = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(MAX_GRAMS).select("gram", "toxic", "ordinary").toArrow()
-    model = LetterModel.of(list(zip(*(c.to_pylist() for c in kept.columns))))
+    contexts = model_table(stored(gram_counts(rows.where(F.col("fold") != CALIBRATED)), "grams"))
     fold = rows.where(F.col("fold") == CALIBRATED)
     share = CALIBRATION / max(1, fold.count())
     sample = fold.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    found = _features(sample, model).collect()
+    listed = _with_features(sample, "text", ["toxic"], contexts, "x", ArrayType(DoubleType()), lambda x: pa.array(x.tolist(), pa.list_(pa.float64())))
+    found = listed.collect()
     x = np.array([r["x"] for r in found], dtype=np.float64).reshape(-1, FEATURES)
     y = np.array([r["toxic"] for r in found], dtype=np.float64)
-    return Classifier(model, *calibrate(x, y))
-
+    return Classifier(contexts, Calibration(*calibrate(x, y)))
 
-def score(df: DataFrame, classifier: Classifier, text_col: str = "text", score_as: str = "score") -> DataFrame:
-    """Add the toxicity score to every row; a column of that name is replaced."""
-    kept = [c for c in df.columns if c.lower() != score_as.lower()]
-    at = kept.index(text_col)
-    shared = df.sparkSession.sparkContext.broadcast(classifier)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value.model)
-        for b in batches:
-            x = np.array([scorer.features(t) for t in b.column(at).to_pylist()], dtype=np.float64).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(x))], names=[*kept, score_as])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(score_as, "double"))
+def score(df: DataFrame, classifier: Classifier, text_col: str = "text", score_as: str = "score", columns: list[str] | None = None) -> DataFrame:
+    """Add the toxicity score to every row, of all columns or those listed; a column of that name is replaced."""
+    kept = [c for c in columns or df.columns if c.lower() != score_as.lower()]
+    calibration = classifier.calibration
+    return _with_features(df, text_col, kept, classifier.contexts, score_as, DoubleType(), lambda x: pa.array(calibration.scores(x), pa.float64()))
 
 
 def production(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -287,7 +400,7 @@ def production(docs: DataFrame, labels: DataFrame) -> Classifier:
 @query("op8_kneser_ney_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text"), production(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, production(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
     return scored.select(
         "doc_id", F.coalesce(bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -258,6 +258,22 @@ def test_toxicity_edge_cases(llm, odd, empty):
     assert toxicity.score(empty, classifier).count() == 0
 
 
+def test_model_of_every_sequence(llm, monkeypatch):
+    """However many sequences there are, all of them count: the tables equal the model of all counts in one place."""
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 50, raising=False)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 7, raising=False)
+    docs, labels = table(llm, SMALL, "documents"), table(llm, SMALL, "labels")
+    allowed = bucket(F.col("doc_id"), 4) != 2
+    rows = toxicity.labelled(docs, labels, allowed).where(F.col("fold") != toxicity.CALIBRATED)
+    want = toxicity.LetterModel.of([tuple(r) for r in toxicity.gram_counts(rows).collect()])
+    classifier = toxicity.learn(docs, labels, allowed)
+    got = classifier.model
+    assert len(want.grams) > 1000 and got.grams == pytest.approx(want.grams, abs=1e-9) and got.default == pytest.approx(want.default, abs=1e-9)
+    scorer = toxicity.Scorer(want)
+    slow = {r.doc_id: classifier.scores(np.array([scorer.features(r.text)]))[0] for r in docs.collect()}
+    assert {r.doc_id: r.score for r in toxicity.score(docs, classifier).collect()} == pytest.approx(slow, abs=1e-9)
+
+
 # ---- the pipeline -----------------------------------------------------------
 
 
