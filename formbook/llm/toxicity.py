@@ -8,8 +8,7 @@ A text's score compares its two log-likelihoods, normalised by length: the mean
 over all letters, and how far single words exceed it.  A logistic calibration on labelled
 texts that the models have not seen turns these into a probability.
 
-Learning uses every labelled text once: of near-copies (equal smallest three-word hash and
-label) one speaks for all.  Counts, continuation counts and differences of all letter sequences
+Learning uses every labelled text once: of exact copies with one label one speaks for all.  Counts, continuation counts and differences of all letter sequences
 are Spark tables, so the model grows with the input and is on no single machine; only the
 calibration sample is bounded, by ``CALIBRATION``.  Scoring cuts the documents into blocks, joins
 the contexts of each block's words with the model and scores the block by what it asked for.
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 
-from formbook.llm.common import SPACE, bucket, let, query, stored, table
+from formbook.llm.common import bucket, query, stored, table
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -224,19 +223,12 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _near_copy_key(text: Column) -> Column:
-    """The smallest hash of a text's three-word windows; of short texts, the text's hash."""
-    words = F.array_remove(F.split(text, f"[{SPACE}]+"), "")
-    windows = let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
-    return F.coalesce(F.array_min(windows), F.xxhash64(text))
-
-
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
-    """(i, text, toxic, fold) of the labelled documents to learn from, one of each set of near-copies."""
+    """(i, text, toxic, fold) of the labelled documents to learn from, one of each set of equal texts with one label."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & allowed)
     usable = _bounded(usable.groupBy(F.col("doc_id").alias("i")).agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic")))
     texts = docs.where(F.col("text").isNotNull() & allowed).select(F.col("doc_id").alias("i"), "text")
-    keyed = texts.join(usable, "i").select("i", "toxic", _near_copy_key(F.col("text")).alias("k"))
+    keyed = texts.join(usable, "i").select("i", "toxic", F.sha2("text", 256).alias("k"))
     chosen = _bounded(keyed.groupBy("k", "toxic").agg(F.min("i").alias("i")).select("i", "toxic"))
     return texts.join(chosen, "i").select("i", "text", "toxic", bucket(F.col("i"), FOLDS).alias("fold"))
 

@@ -274,6 +274,15 @@ def test_model_of_every_sequence(llm, monkeypatch):
     assert {r.doc_id: r.score for r in toxicity.score(docs, classifier).collect()} == pytest.approx(slow, abs=1e-9)
 
 
+def test_only_equal_texts_speak_for_each_other(llm):
+    passage = "this very passage is in all of them"
+    texts = [passage + "".join(f" {w}{k}" for w in ("own", "other", "last")) for k in range(20)]
+    docs = llm.createDataFrame(list(enumerate([*texts, texts[3], texts[3]])), "doc_id long, text string")
+    labels = llm.createDataFrame([(k, int(k in (3, 21))) for k in range(22)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, F.lit(True)).collect()
+    assert sorted((r.i, r.toxic) for r in got) == [(k, int(k == 3)) for k in range(21)]
+
+
 # ---- the pipeline -----------------------------------------------------------
 
 
