@@ -361,7 +361,7 @@ def _(spark, sf):
 @query("bootstrap_interval", "A21 B16")
 def _(spark, sf):
     df = bets(spark, sf).withColumn("_key", F.concat_ws("|", "race_id", "entrant_id"))
-    return pick(D.bootstrap_interval(df, "pnl", "_key", ["strategy"], 400), "", "low high", ["strategy"])
+    return pick(D.bootstrap_interval(df, "pnl", "_key", ["strategy"]), "", "low high", ["strategy"])
 
 
 @query("source_validation", "J22 X3 A18", f"""{WITH_PREDS}, b as (select * from preds where race_id % 3 <> 0

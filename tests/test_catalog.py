@@ -42,3 +42,12 @@ def test_query_matches_sql(spark, name):
 def test_every_query_names_what_it_covers():
     contract.queries()
     assert all(COVERS.values())
+
+
+def test_bootstrap_with_all_replicates(spark, monkeypatch):
+    from formbook.operators import diagnostics as D
+
+    seen, real = [], D.bootstrap_sums
+    monkeypatch.setattr(D, "bootstrap_sums", lambda df, value, key, groups, replicates, seed: seen.append(replicates) or real(df, value, key, groups, replicates, seed))
+    rows = contract.queries()["bootstrap_interval"](spark, contract.SMOKE_DIR).collect()
+    assert seen == [2000] and rows and all(r.low <= r.high for r in rows)
