@@ -51,3 +51,26 @@ def test_bootstrap_with_all_replicates(spark, monkeypatch):
     monkeypatch.setattr(D, "bootstrap_sums", lambda df, value, key, groups, replicates, seed: seen.append(replicates) or real(df, value, key, groups, replicates, seed))
     rows = contract.queries()["bootstrap_interval"](spark, contract.SMOKE_DIR).collect()
     assert seen == [2000] and rows and all(r.low <= r.high for r in rows)
+
+
+def test_models_take_all_columns_folds_and_iterations(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from formbook.catalog import models
+
+    dates = spark.range(400).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("race_date"), F.lit(False).alias("is_validation"))
+    seen = []
+    monkeypatch.setattr(models, "training_table", lambda *_: dates)
+    monkeypatch.setattr(models, "halves", lambda df: (df, df))
+    monkeypatch.setattr(models.S, "with_early_stop", lambda df: df)
+    monkeypatch.setattr(models.ml, "search", lambda folds, features, grid: seen.append((folds.select("fold").distinct().count(), features)) or dates)
+    monkeypatch.setattr(models.ml, "fit_trees", lambda *a, **k: seen.append(k))
+    monkeypatch.setattr(models.ml, "importances", lambda *_: {})
+    monkeypatch.setattr(models.ml, "prune_features", lambda df, features, _: features)
+    monkeypatch.setattr(models.ml, "predict", lambda *_, **__: dates)
+    monkeypatch.setattr(models, "pick", lambda df, *_: df)
+    monkeypatch.setattr(models, "runner_skew", lambda *_: None)
+    contract.queries()["hyperparameter_search"](spark, contract.SMOKE_DIR)
+    contract.queries()["tree_model_predictions"](spark, contract.SMOKE_DIR)
+    assert seen[0] == (3, models.FEATURES) and len(seen) == 3
+    assert all("max_iter" not in k and k["validation"] == "is_validation" for k in seen[1:])
