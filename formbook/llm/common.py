@@ -71,3 +71,18 @@ def free_name(wanted: str, taken: list[str]) -> str:
     while wanted.lower() in have:
         wanted += "_"
     return wanted
+
+
+# ---- check SQL --------------------------------------------------------------
+
+#: A common table expression with the 256 remainders of the checksum polynomial in one list ``t``.
+CRC_TABLE_SQL = """crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(k)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8 bytes, where ``crc_table`` is in scope."""
+    octet = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    octets = f"list_transform(range(octet_length(encode({text}))::BIGINT), lambda i: {octet})"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
