@@ -17,8 +17,8 @@ ORACLES: dict[str, str] = {}
 
 # ASCII white space that ends a word, as a regular-expression class body.
 SPACE = "\\x20\\x09-\\x0D"
-# Rows of one Arrow batch; with documents of some kilobytes a batch stays at a few megabytes.
-BATCH_ROWS = 2000
+# Rows and bytes of one Arrow batch; a batch ends with the row that passes either.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,6 +41,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """The session with the settings these operators rely on."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -8,15 +8,21 @@ A text's score compares its two log-likelihoods, normalised by length: the mean
 over all letters, and how far single words exceed it.  A logistic calibration on labelled
 texts that the models have not seen turns these into a probability.
 
-Learning uses every labelled text once: of exact copies with one label one speaks for all.  Counts, continuation counts and differences of all letter sequences
-are Spark tables, so the model grows with the input and is on no single machine; only the
-calibration sample is bounded, by ``CALIBRATION``.  Scoring cuts the documents into blocks, joins
-the contexts of each block's words with the model and scores the block by what it asked for.
+Learning uses every labelled text once: of exact copies with one label one speaks for all.
+Counts, continuation counts and differences of all letter sequences are Spark tables, so the
+model grows with the input; only the calibration sample is bounded, by ``CALIBRATION``.  A
+finished model of up to ``PACKED_BYTES`` (16 bytes a sequence; its size is counted first) goes
+with the tasks as two sorted arrays, and scoring is a narrow step over the texts.  A larger
+one stays a table: the documents are cut into blocks, the contexts of each block's words are
+joined with the model, and the block is scored by what it asked for.  Both ways give the same
+scores up to rounding.
 
 Edge cases: null and wordless texts have neutral features and get the calibrated score of
 such; labels with a null id or label are not used, an id labelled twice is toxic if any row
 says so; without both classes among the labels every difference is zero and the score is the
-share of toxic labels; repeated rows are scored each; an empty table gives no rows.
+share of toxic labels; repeated rows are scored each; texts are read whole, whatever their
+length; other columns stay as they are, one of the score's name is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
@@ -42,7 +49,8 @@ PRIOR = 50.0
 LETTERS = 256  # the uniform model under the shared one
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 32 << 20  # documents scored by one part of the model, and their bytes
 CALIBRATION = 20_000  # labelled texts to calibrate on, about
-BROADCAST_ROWS = 2_000_000  # ids with labels are broadcast up to this many (16 bytes each)
+BROADCAST_ROWS = 200_000  # ids with labels are broadcast up to this many (16 bytes each)
+PACKED_BYTES = 128 << 20  # models up to this size go with the tasks
 REMEMBERED = 150_000  # words remembered by a worker
 EXCESS = 1.0  # log-likelihood difference from which a word stands out
 FOLDS, HELD_OUT, CALIBRATED = 4, 2, 3
@@ -61,40 +69,69 @@ def grams_of(word: str) -> list[str]:
     return [marked[max(0, k - ORDER + 1):k + 1] for k in range(1, len(marked))]
 
 
-# ---- learning ---------------------------------------------------------------
+# ---- a packed model ---------------------------------------------------------
+
+_STEP, _AFTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial of each slice of at most ``ORDER`` letters; no letter is zero."""
+    out = np.zeros(len(start), np.uint64)
+    for k in range(ORDER):
+        at = start + k
+        out = np.where(at < end, out * _STEP + points[np.minimum(at, max(0, len(points) - 1))], out)
+    return out
 
 
-class SharedModel:
-    """Interpolated Kneser-Ney over both classes: counts at the top, continuation counts below."""
+class PackedModel:
+    """``LetterModel`` as sorted hashes and differences; contexts' defaults are under hashes of their own."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.levels = [self._level(counts)]
-        grams = set(counts)
-        for _ in range(ORDER - 1):
-            shorter = Counter(g[1:] for g in grams if len(g) > 1)
-            if not shorter:
-                break
-            self.levels.append(self._level(shorter))
-            grams = set(shorter)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
 
     @staticmethod
-    def _level(counts: dict[str, int]) -> tuple[dict, Counter, Counter]:
-        total, types = Counter(), Counter()
-        for g, n in counts.items():
-            total[g[:-1]] += n
-            types[g[:-1]] += 1
-        return counts, total, types
-
-    def probability(self, gram: str, level: int = 0) -> float:
-        """Of the gram's last letter after the others."""
-        if level == len(self.levels) or not gram:
-            return 1.0 / LETTERS
-        counts, total, types = self.levels[level]
-        n = total.get(gram[:-1])
-        lower = self.probability(gram[1:], level + 1)
-        if not n:
-            return lower
-        return (max(counts.get(gram, 0) - DISCOUNT, 0.0) + DISCOUNT * types[gram[:-1]] * lower) / n
+    def parts(contexts: list[str], letters: list[str], differences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, values) of rows of ``model_table``."""
+        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for context, after, data in zip(contexts, letters, differences):
+            head = 0
+            for c in context:
+                head = (head * int(_STEP) + ord(c) + 1) & (1 << 64) - 1
+            heads = np.full(1, head, np.uint64)
+            keys.append(np.concatenate([heads ^ _AFTER, heads * _STEP + _points(after)]))
+            values.append(np.frombuffer(data, ">f8").astype(np.float64))
+        return np.concatenate(keys), np.concatenate(values)
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == wanted
+
+    def words(self, words: list[str]) -> list[float]:
+        """``LetterModel.word`` of each."""
+        if not words or not len(self.keys):
+            return [0.0] * len(words)
+        points = _points("".join(f"^{w}$" for w in words))
+        size = np.array([len(w) + 2 for w in words], np.int64)
+        first = np.cumsum(size) - size
+        at = np.arange(len(points))
+        begin = np.repeat(first, size)
+        gram = at > begin
+        at, begin = at[gram], begin[gram]
+        start = np.maximum(begin, at - ORDER + 1)
+        found, known = self._find(_hashes(points, start, at + 1))
+        value = np.where(known, self.values[found], 0.0)
+        rest = np.flatnonzero(~known)
+        found, known = self._find(_hashes(points, start[rest], at[rest]) ^ _AFTER)
+        value[rest] = np.where(known, self.values[found], 0.0)
+        return np.add.reduceat(value, first - np.arange(len(words))).tolist()
+
+
+# ---- learning ---------------------------------------------------------------
 
 
 @dataclass
@@ -104,29 +141,6 @@ class LetterModel:
     grams: dict[str, float]
     default: dict[str, float]
 
-    @classmethod
-    def of(cls, rows: list[tuple[str, int, int]]) -> LetterModel:
-        """From (sequence, toxic count, ordinary count)."""
-        counts = [{g: t for g, t, _ in rows if t}, {g: o for g, _, o in rows if o}]
-        if not counts[0] or not counts[1]:
-            return cls({}, {})
-        shared = SharedModel({g: t + o for g, t, o in rows})
-        levels = [SharedModel._level(c) for c in counts]
-
-        def mass(c: int, context: str) -> tuple[float, float]:
-            """(what the class hands to the shared model, what it divides by)."""
-            n = levels[c][1].get(context, 0)
-            return DISCOUNT * levels[c][2].get(context, 0) + PRIOR, n + PRIOR
-
-        grams, default = {}, {}
-        for context in {g[:-1] for g, _, _ in rows}:
-            (a, n), (b, m) = mass(0, context), mass(1, context)
-            default[context] = math.log(a / n) - math.log(b / m)
-        for g, toxic, ordinary in rows:
-            p, (a, n), (b, m) = shared.probability(g), mass(0, g[:-1]), mass(1, g[:-1])
-            grams[g] = math.log((max(toxic - DISCOUNT, 0.0) + a * p) / n) - math.log((max(ordinary - DISCOUNT, 0.0) + b * p) / m)
-        return cls(grams, default)
-
     @classmethod
     def from_contexts(cls, rows: pa.Table) -> LetterModel:
         """From rows of ``model_table``."""
@@ -145,24 +159,25 @@ class LetterModel:
 
 
 class Scorer:
-    """A model with a bounded memory of words."""
+    """A packed model with a bounded memory of words."""
 
-    def __init__(self, model: LetterModel):
+    def __init__(self, model: PackedModel):
         self.model = model
         self._known: dict[str, float] = {}
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        """Mean difference a letter; excess of single words by length and by its root; mean of the three highest."""
-        words = words_of(text)
-        if not words:
-            return 0.0, 0.0, 0.0, 0.0
-        if len(self._known) > REMEMBERED:
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text: mean difference a letter; excess of single words by length and by its root; mean of the three highest."""
+        counts = [Counter(words_of(t)) for t in texts]
+        new = list(set().union(*counts).difference(self._known))
+        if len(self._known) + len(new) > REMEMBERED:
             self._known.clear()
-        known, counts = self._known, Counter(words)
-        for w in counts:
-            if w not in known:
-                known[w] = self.model.word(w)
-        return features_of(np.array([known[w] for w in counts]), np.array(list(counts.values())), np.array([len(w) + 1 for w in counts]))
+            new = list(set().union(*counts))
+        for k in range(0, len(new), REMEMBERED):
+            part = new[k:k + REMEMBERED]
+            self._known.update(zip(part, self.model.words(part)))
+        value = self._known.__getitem__
+        rows = [features_of(np.fromiter(map(value, c), float, len(c)), np.fromiter(c.values(), np.int64, len(c)), np.fromiter(map(len, c), np.int64, len(c)) + 1) for c in counts]
+        return np.array(rows, dtype=np.float64).reshape(-1, FEATURES)
 
 
 FEATURES = 4
@@ -206,6 +221,7 @@ class Calibration:
 @dataclass
 class Classifier:
     contexts: DataFrame  # of model_table
+    packed: Broadcast | None  # of PackedModel, unless it is too large
     calibration: Calibration
 
     @property
@@ -301,7 +317,6 @@ def model_table(counts: DataFrame) -> DataFrame:
     rows = letters.groupBy("context").agg(F.first("default").alias("default"), F.collect_list("letter").alias("letter"))
     both = counts.agg(F.coalesce(F.max("toxic") > 0, F.lit(False)) & F.coalesce(F.max("ordinary") > 0, F.lit(False))).first()[0]
 
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             letter = b.column(2).to_pylist()
@@ -312,8 +327,39 @@ def model_table(counts: DataFrame) -> DataFrame:
     return stored(rows if both else rows.where("false"), "letter-model")
 
 
-def _with_features(df: DataFrame, text_col: str, kept: list[str], contexts: DataFrame, name: str, kind: DataType, finish: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+def packed_model(contexts: DataFrame) -> Broadcast | None:
+    """The rows of ``model_table`` for the tasks, if they are at most ``PACKED_BYTES``."""
+    size = contexts.agg(F.sum(F.length("letters") + 1)).first()[0] or 0
+    if 16 * size > PACKED_BYTES:
+        return None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in PackedModel.parts(*(c.to_pylist() for c in b.columns))], names=["keys", "values"])
+
+    parts = contexts.mapInArrow(pack, "keys binary, `values` binary").toArrow()
+    keys, values = (np.frombuffer(b"".join(parts[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("values", np.float64)))
+    return contexts.sparkSession.sparkContext.broadcast(PackedModel(keys, values))
+
+
+def _with_features(
+    df: DataFrame, text_col: str, kept: list[str], contexts: DataFrame, packed: Broadcast | None, name: str, kind: DataType, finish: Callable[[np.ndarray], pa.Array],
+) -> DataFrame:
     """The ``kept`` columns of every row and, as ``name``, what ``finish`` makes of the features of its text."""
+    if packed is None:
+        return _in_blocks(df, text_col, kept, contexts, name, kind, finish)
+
+    @F.arrow_udf(kind)
+    def values(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(packed.value)
+        for t in texts:
+            yield finish(scorer.features(t.to_pylist()))
+
+    return df.select(*[F.col(f"`{c}`") for c in kept], values(F.col(f"`{text_col}`")).alias(name))
+
+
+def _in_blocks(df: DataFrame, text_col: str, kept: list[str], contexts: DataFrame, name: str, kind: DataType, finish: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """``_with_features`` by a model that is a table."""
     columns = kept if text_col in kept else [*kept, text_col]
     df = df.select(*[F.col(f"`{c}`") for c in columns])
     at, width = columns.index(text_col), len(kept)
@@ -371,18 +417,19 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Classifier:
     fold = rows.where(F.col("fold") == CALIBRATED)
     share = CALIBRATION / max(1, fold.count())
     sample = fold.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    listed = _with_features(sample, "text", ["toxic"], contexts, "x", ArrayType(DoubleType()), lambda x: pa.array(x.tolist(), pa.list_(pa.float64())))
+    packed = packed_model(contexts)
+    listed = _with_features(sample, "text", ["toxic"], contexts, packed, "x", ArrayType(DoubleType()), lambda x: pa.array(x.tolist(), pa.list_(pa.float64())))
     found = listed.collect()
     x = np.array([r["x"] for r in found], dtype=np.float64).reshape(-1, FEATURES)
     y = np.array([r["toxic"] for r in found], dtype=np.float64)
-    return Classifier(contexts, Calibration(*calibrate(x, y)))
+    return Classifier(contexts, packed, Calibration(*calibrate(x, y)))
 
 
 def score(df: DataFrame, classifier: Classifier, text_col: str = "text", score_as: str = "score", columns: list[str] | None = None) -> DataFrame:
     """Add the toxicity score to every row, of all columns or those listed; a column of that name is replaced."""
     kept = [c for c in columns or df.columns if c.lower() != score_as.lower()]
     calibration = classifier.calibration
-    return _with_features(df, text_col, kept, classifier.contexts, score_as, DoubleType(), lambda x: pa.array(calibration.scores(x), pa.float64()))
+    return _with_features(df, text_col, kept, classifier.contexts, classifier.packed, score_as, DoubleType(), lambda x: pa.array(calibration.scores(x), pa.float64()))
 
 
 def production(docs: DataFrame, labels: DataFrame) -> Classifier:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from formbook.llm import components, language, licenses, simhash, toxicity, transport
 from formbook.llm.common import QUERIES, bucket, table
 from formbook.llm.catalog import MODULES  # noqa: F401
+from tests.llm import plain_toxicity
 from tests.llm.conftest import ODD, SMALL, rows_of
 
 # ---- language ---------------------------------------------------------------
@@ -228,7 +229,7 @@ def test_near_copy_edge_cases(odd, empty):
 
 def test_shared_model_is_a_distribution():
     counts = Counter(g for w in ("ab", "abc", "bca", "cab", "abab") for g in toxicity.grams_of(w))
-    model = toxicity.SharedModel(dict(counts))
+    model = plain_toxicity.SharedModel(dict(counts))
     letters = [chr(k) for k in range(toxicity.LETTERS)]
     assert set("^$abc") <= set(letters)
     for context in ("^", "^a", "^ab", "^abc", "^zz"):
@@ -237,9 +238,9 @@ def test_shared_model_is_a_distribution():
 
 def test_both_classes_are_distributions():
     rows = [("^a", 5, 9), ("^b", 0, 4), ("^ab", 5, 1), ("^ac", 0, 8), ("^ab$", 5, 1), ("^ac$", 0, 8), ("^b$", 0, 4)]
-    model = toxicity.LetterModel.of(rows)
+    model = plain_toxicity.letter_model(rows)
     assert model.grams["^ab"] > 0.2 > 0 > model.grams["^ac"]
-    assert toxicity.LetterModel.of([("^a", 0, 3)]).word("a") == 0.0 and model.word("") == pytest.approx(model.word(""))
+    assert plain_toxicity.letter_model([("^a", 0, 3)]).word("a") == 0.0 and model.word("") == pytest.approx(model.word(""))
 
 
 def test_held_out_toxicity(llm):
@@ -258,19 +259,20 @@ def test_toxicity_edge_cases(llm, odd, empty):
     assert toxicity.score(empty, classifier).count() == 0
 
 
-def test_model_of_every_sequence(llm, monkeypatch):
-    """However many sequences there are, all of them count: the tables equal the model of all counts in one place."""
-    monkeypatch.setattr(toxicity, "MAX_GRAMS", 50, raising=False)
+@pytest.mark.parametrize("packed_bytes", [0, toxicity.PACKED_BYTES])
+def test_model_of_every_sequence(llm, monkeypatch, packed_bytes):
+    """However many sequences there are, all of them count: both forms of the model equal that of all counts in one place."""
+    monkeypatch.setattr(toxicity, "PACKED_BYTES", packed_bytes)
     monkeypatch.setattr(toxicity, "BLOCK_ROWS", 7, raising=False)
     docs, labels = table(llm, SMALL, "documents"), table(llm, SMALL, "labels")
     allowed = bucket(F.col("doc_id"), 4) != 2
     rows = toxicity.labelled(docs, labels, allowed).where(F.col("fold") != toxicity.CALIBRATED)
-    want = toxicity.LetterModel.of([tuple(r) for r in toxicity.gram_counts(rows).collect()])
+    want = plain_toxicity.letter_model([tuple(r) for r in toxicity.gram_counts(rows).collect()])
     classifier = toxicity.learn(docs, labels, allowed)
+    assert (classifier.packed is None) == (not packed_bytes)
     got = classifier.model
     assert len(want.grams) > 1000 and got.grams == pytest.approx(want.grams, abs=1e-9) and got.default == pytest.approx(want.default, abs=1e-9)
-    scorer = toxicity.Scorer(want)
-    slow = {r.doc_id: classifier.scores(np.array([scorer.features(r.text)]))[0] for r in docs.collect()}
+    slow = {r.doc_id: classifier.scores(plain_toxicity.features(want, r.text))[0] for r in docs.collect()}
     assert {r.doc_id: r.score for r in toxicity.score(docs, classifier).collect()} == pytest.approx(slow, abs=1e-9)
 
 
@@ -293,8 +295,8 @@ def test_pipeline_by_its_operators(llm):
     lang = {r.doc_id: r for r in language.identify(docs, language.production(docs), lang_as="p", score_as="s").collect()}
     kept = docs.where(F.col("doc_id").isin([d for d, r in lang.items() if r.p != "und" and r.s >= corpus_pipeline.LEAST_SIMILARITY]))
     classifier = toxicity.production(kept, table(llm, SMALL, "labels"))
-    scorer = toxicity.Scorer(classifier.model)
-    clean = [r for r in kept.collect() if classifier.scores(np.array([scorer.features(r.text)]))[0] < toxicity.THRESHOLD]
+    model = classifier.model
+    clean = [r for r in kept.collect() if classifier.scores(plain_toxicity.features(model, r.text))[0] < toxicity.THRESHOLD]
     prints = {r.doc_id: slow_fingerprint(r.text) for r in clean}
     label = united(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
     got = corpus_pipeline.run(llm, SMALL)

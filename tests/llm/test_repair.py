@@ -4,7 +4,7 @@ import random
 import zlib
 
 import pytest
-from conftest import SMALL, rows_of
+from tests.llm.conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from formbook.llm import repair

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from tests.llm.conftest import rows_of
 
 from formbook.llm import spelling
 
@@ -78,6 +78,6 @@ def test_case_accents_and_very_long_runs(llm):
 
 
 def test_query_equals_its_sql(llm, duck):
-    from conftest import SMALL
+    from tests.llm.conftest import SMALL
     order = "word form root n n_near form_n".split()
     assert rows_of(spelling.op13(llm, SMALL).select(*order)) == sorted(duck.sql(f"select {', '.join(order)} from ({spelling.SQL})").fetchall(), key=repr)

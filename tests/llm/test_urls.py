@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from conftest import SMALL, rows_of
+from tests.llm.conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from formbook.llm import urls
