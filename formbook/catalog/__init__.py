@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history", "features_entrant", "features_people", "features_race", "betting", "scoring", "parsing", "diagnostics", "ratings", "models", "streams", "builds")
+MODULES = ("history", "features_entrant", "features_people", "features_race", "betting", "scoring", "parsing", "diagnostics", "ratings", "models", "streams", "builds", "incremental")
 
 
 def load_all() -> None:
