@@ -50,14 +50,17 @@ class WordTokenizer:
         """Bytes that hold any id."""
         return 2 if len(self._ends) <= 1 << 16 else 4
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        # Offsets are not needed, and the fast call does not track them.
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self._ends[ids]) + 1
+        ids, = self._ids([" ".join(pieces)])
+        cuts = (4 * np.flatnonzero(self._ends[ids]) + 4).tolist()
         if len(cuts) != len(pieces):  # never seen; then each on its own
-            found = [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-        else:
-            found = [x.tobytes() for x in np.split(ids, cuts[:-1])]
-        return dict(zip(pieces, found))
+            return dict(zip(pieces, (x.tobytes() for x in self._ids(pieces))))
+        data = ids.tobytes()
+        return {p: data[a:b] for p, a, b in zip(pieces, [0, *cuts], cuts)}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned little-endian 32-bit numbers."""
@@ -68,19 +71,17 @@ class WordTokenizer:
         new: dict[str, None] = {}
         for pieces in cut:
             if pieces:
-                for p in set(pieces):
-                    if p not in known:
-                        old = self._older.get(p)
-                        if old is None:
-                            new[p] = None
-                        else:
-                            known[p] = old
+                for p in set(pieces).difference(known):
+                    old = self._older.get(p)
+                    if old is None:
+                        new[p] = None
+                    else:
+                        known[p] = old
         fresh = list(new)
         for k in range(0, len(fresh), 10_000):
             known.update(self._learn(fresh[k:k + 10_000]))
         get = known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if pieces is None else b"".join(map(get, pieces))
-                for t, pieces in zip(texts, cut)]
+        return [self._ids([t])[0].tobytes() if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
