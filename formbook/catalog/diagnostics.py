@@ -404,7 +404,7 @@ def _(spark, sf):
     return signals(spark, sf).select("event_id", "entrant_name", r6("win_probability"), r6("fair_odds"), r6("spread"), "signal")
 
 
-@query("paper_trades_settled", "B22 B23 J14 S20 U6", f"""{_SIG}, t as (select event_id, entrant_name, 'BACK' as side,
+@query("paper_trades_settled", "B22 B23 J14 U6", f"""{_SIG}, t as (select event_id, entrant_name, 'BACK' as side,
     best_back_odds as eo from s where bk union all select event_id, entrant_name, 'LAY', best_lay_odds from s where ly),
 n as (select t.*, cast(replace(entrant_name, 'Entrant ', '') as bigint) % 4 as w, event_id % 3 <> 0 as has from t)
 select event_id, entrant_name, side, case when has then 'SETTLED' else 'OPEN' end as status,
@@ -419,6 +419,43 @@ def _(spark, sf):
     return df.select("event_id", "entrant_name", "side", "status", r6("pnl"))
 
 
+@query("trade_ledger", "S20", f"""{_SIG}, t as (select event_id, entrant_name, 'BACK' as side, best_back_odds as eo, event_id % 4 as part from s where bk
+  union all select event_id, entrant_name, 'LAY', best_lay_odds, event_id % 4 from s where ly)
+select 'part-' || part as batch_id, event_id, entrant_name, side, {dbls(odds='eo')} from t where part < 3""")
+def _(spark, sf):
+    """Trades appended in three batches, each twice, beside a batch that was never committed."""
+    folder = f"{checkpoint_root(spark)}/ledger-{uuid.uuid4().hex}"
+    path = f"{folder}-trades"
+    D.trades_from_signals(signals(spark, sf)).write.parquet(path)
+    trades = spark.read.parquet(path)
+    for k in (0, 1, 2, 1, 0, 2):
+        T.append_once(trades.where(F.col("event_id") % 4 == k), folder, f"part-{k}")
+    trades.where(F.col("event_id") % 4 == 3).withColumn("batch_id", F.lit("part-3")).write.parquet(f"{folder}/rows/part-3")
+    return T.ledger(spark, folder).select("batch_id", "event_id", "entrant_name", "side", r6("entry_odds", "odds"))
+
+
+_CSV_INTS, _CSV_DOUBLES = "num_runners age draw handicap finish_position won", "distance_furlongs prize_money weight_lbs odds lengths_behind"
+
+
+@query("csv_round_trip", "S1 S9", f"""{WITH_RUNNERS} select cast(race_id as varchar) as race_id, cast(entrant_id as varchar) as entrant_id, track, going, cast(jockey as varchar) as jockey, cast(trainer as varchar) as trainer,
+  {ints(**{c: c for c in _CSV_INTS.split()})}, {dbls(**{c: c for c in _CSV_DOUBLES.split()})}, cast(0 as bigint) as bad from runners
+union all select null, null, null, null, null, null, {', '.join('null' for _ in (_CSV_INTS + ' ' + _CSV_DOUBLES).split())}, count(*) from runners where race_id % 50 = 0""")
+def _(spark, sf):
+    """The runner table written as CSV beside lines with text where numbers belong, and read back."""
+    path = f"{checkpoint_root(spark)}/csv-{uuid.uuid4().hex}"
+    runners = runner_table(spark, sf)
+    named = [f.name for f in T.RAW_SCHEMA if f.name in runners.columns]
+    text = runners.select(*[F.col(c).cast("string").alias(c) for c in named])
+    broken = text.where(F.col("race_id").cast("long") % 50 == 0).withColumn("age", F.lit("old"))
+    T.write_csv(text.unionByName(broken), path)
+    schema = type(T.RAW_SCHEMA)([f for f in T.RAW_SCHEMA if f.name in named])
+    T.read_csv(spark, path, schema).write.parquet(f"{path}-read")  # parsed once, then split
+    df = spark.read.parquet(f"{path}-read")
+    good = pick(df.where(F.col(T.BAD_RECORD).isNull()).withColumn("bad", F.lit(0)), _CSV_INTS + " bad", _CSV_DOUBLES, [*KEY, "track", "going", "jockey", "trainer"])
+    bad = df.where(F.col(T.BAD_RECORD).isNotNull()).agg(F.count(F.lit(1)).alias("bad"))
+    return good.unionByName(bad, allowMissingColumns=True).select(*good.columns)
+
+
 # ---- runs, races, pace ---------------------------------------------------------
 
 

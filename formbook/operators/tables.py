@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +21,15 @@ RAW_SCHEMA = T.StructType([
         "num_runners", "age", "draw", "days_since_last_run", "handicap", "finish_position", "won")])
 
 
+#: Column of :func:`read_csv` that keeps a line as it was where it does not fit the schema.
+BAD_RECORD = "bad_record"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV scan with a declared schema (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """CSV scan with a declared schema (no inference pass); lines that do not fit are kept in ``bad_record``."""
+    kept = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
+    return (spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+            .option("columnNameOfCorruptRecord", BAD_RECORD).option("escape", '"').option("multiLine", False).csv(path))
 
 
 def read_tolerant(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
@@ -40,7 +47,42 @@ def write_runners(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def append_once(df: DataFrame, folder: str, batch_id: str) -> bool:
+    """Append a batch to a ledger; a batch that is there already changes nothing.
+
+    The rows come first, in a folder of the batch; a commit record with their number and
+    fingerprint makes them count, so a batch that died in between is written anew.  Another
+    content under a committed id is refused.  Returns whether rows were added.
+    """
+    spark = df.sparkSession
+    sign = fingerprint(df, None).select(F.lit(batch_id).alias("batch_id"), "rows", "key")
+    known = [r for r in _commits(spark, folder).where(F.col("batch_id") == batch_id).collect()]
+    if known:
+        now = sign.first()
+        if (known[0]["rows"], known[0]["key"]) != (now["rows"], now["key"]):
+            raise ValueError(f"batch {batch_id} is committed with other rows")
+        return False
+    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/rows/{batch_id}")
+    stored = spark.read.parquet(f"{folder}/rows/{batch_id}").drop("batch_id")
+    fingerprint(stored, None).select(F.lit(batch_id).alias("batch_id"), "rows", "key").coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+    return True
+
+
+def _commits(spark: SparkSession, folder: str) -> DataFrame:
+    empty = spark.range(0).select(F.lit("").alias("batch_id"), F.lit(0).cast("long").alias("rows"), F.lit("").alias("key"))
+    try:
+        return spark.read.parquet(f"{folder}/commits")
+    except AnalysisException:  # nothing committed yet
+        return empty
+
+
+def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all committed batches, with their ``batch_id``; folders without a commit record are not opened."""
+    ids = [r["batch_id"] for r in _commits(spark, folder).select("batch_id").distinct().collect()]  # one a batch
+    return spark.read.parquet(*[f"{folder}/rows/{i}" for i in sorted(ids)])
 
 
 def since(df: DataFrame, reference: Column, days_back: int, date: str = "race_date") -> DataFrame:
