@@ -1,16 +1,22 @@
 """Licence scans with a positional index of rare words.
 
-The index holds, for each key phrase of each licence template, its words by position and one
-anchor: the phrase word with the highest inverse document frequency, counted over all
-documents.  A file's licence words are looked up from the rarest on; a phrase can only stand
-where its anchor stands, so the anchor's postings give every candidate place, and the
-candidate is kept if all the other words stand at their relative positions.  A template is
-found if its mandatory key phrases are found in places that agree on where the template
-starts.  The index is a few hundred bytes and goes with the task; documents are never shuffled.
+A template is the whole word sequence of a licence with its mandatory key phrases
+(:mod:`formbook.llm.license_texts`).  Document frequencies of the templates' words are counted
+over all documents.  The index posts every rare word of a key phrase with the phrase and the
+place in it; rare is what has at least the smallest, over all phrases, of a phrase's highest
+inverse document frequency, so that no phrase is without a posting.  Each file's rare words are
+looked up; a looked-up word puts the phrase at one place, and places on which all of the
+phrase's postings agree are verified word by word.  A template stands where all its key
+phrases do, each within SLACK words of where the one before puts it.  Its share says how much
+of the licence is there: the template words found within SLACK words of their place beside a
+neighbour of theirs, divided by the template's words and the words its phrases are off by.
+The index has a few thousand entries and goes with the task; documents are never shuffled, and
+the work on a file grows with its words.
 
 Edge cases: a null text is empty; no word gives zero words, null places and no label;
-repeated rows are scanned each on their own; equal document frequencies are broken by the
-word; an empty table gives no rows.
+repeated rows are scanned each on their own, extra columns of any name are left out; equal
+document frequencies are broken by the word; a very long text is a batch of its own; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,40 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formbook.llm.common import query, table
+from formbook.llm.license_texts import BASE, MORE, TEMPLATES, Template, words_of
 
+__all__ = ["BASE", "MORE", "TEMPLATES", "Template"]
 
-@dataclass(frozen=True)
-class Template:
-    """A licence: ``phrases`` are (position of the first word in the template, words)."""
-
-    label: str
-    phrases: tuple[tuple[int, str], ...]
-    base: bool = False
-
-
-# Phrases and labels of the base.
-BASE = (
-    Template("mit", ((0, "under the mit license"),), True),
-    Template("apache-2", ((0, "apache license version 2"),), True),
-    Template("cc-by-nc", ((0, "cc by nc"),), True),
-)
-# Further templates by their mandatory key phrases, placed as in the published licence texts.
-MORE = (
-    Template("mit", ((0, "permission is hereby granted free of charge to any person obtaining a copy"), (13, "of this software and associated documentation files"))),
-    Template("apache-2", ((0, "licensed under the apache license version 2 0"), (8, "the license you may not use this file except in compliance with the license"))),
-    Template("gpl-3", ((0, "gnu general public license"), (4, "version 3"))),
-    Template("gpl-2", ((0, "gnu general public license"), (4, "version 2"))),
-    Template("lgpl", ((0, "gnu lesser general public license"),)),
-    Template("agpl-3", ((0, "gnu affero general public license"),)),
-    Template("bsd", ((0, "redistribution and use in source and binary forms"), (8, "with or without modification are permitted"))),
-    Template("isc", ((0, "permission to use copy modify and or distribute this software"), (10, "for any purpose with or without fee"))),
-    Template("mpl-2", ((0, "subject to the terms of the mozilla public license"),)),
-    Template("unlicense", ((0, "this is free and unencumbered software released into the public domain"),)),
-    Template("cc0", ((0, "cc0 1 0 universal"),)),
-    Template("cc-by-sa", ((0, "cc by sa"),)),
-)
-TEMPLATES = BASE + MORE
-SLACK = 4  # words by which two phrases of one template may disagree about its start
+SLACK = 4  # words by which a key phrase may be off from where the one before it puts it
+_CELLS = 1 << 20  # template words compared at a time
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -126,7 +104,7 @@ class Vocabulary:
 
 
 def vocabulary(templates: Sequence[Template] = TEMPLATES) -> Vocabulary:
-    return Vocabulary(sorted({w for t in templates for _, p in t.phrases for w in p.split()}))
+    return Vocabulary(sorted({w for t in templates for w in words_of(t.text)}))
 
 
 def document_frequencies(df: DataFrame, templates: Sequence[Template] = TEMPLATES, text_col: str = "text") -> DataFrame:
@@ -149,13 +127,21 @@ def document_frequencies(df: DataFrame, templates: Sequence[Template] = TEMPLATE
 
 @dataclass(frozen=True)
 class Index:
-    """Phrases with their words' ids, their anchors and the anchors' postings."""
+    """Phrases and templates as word ids, and the postings of the rare words.
+
+    Rare word ``i`` is posted at ``post_phrase[post_from[i]:post_from[i + 1]]`` with the place in
+    each phrase beside it; ``n_rare`` counts the postings of a phrase.
+    """
 
     words: tuple[str, ...]
     idf: np.ndarray
     phrases: tuple[tuple[int, ...], ...]
-    anchors: tuple[int, ...]
+    post_from: np.ndarray
+    post_phrase: np.ndarray
+    post_at: np.ndarray
+    n_rare: np.ndarray
     templates: tuple[tuple[str, bool, tuple[tuple[int, int], ...]], ...]  # label, base, (position, phrase)
+    texts: tuple[np.ndarray, ...]
 
 
 def build_index(frequencies: Mapping[str | None, int], templates: Sequence[Template] = TEMPLATES) -> Index:
@@ -165,64 +151,95 @@ def build_index(frequencies: Mapping[str | None, int], templates: Sequence[Templ
     number = {w: i + 1 for i, w in enumerate(words)}
     texts = list(dict.fromkeys(p for t in templates for _, p in t.phrases))
     phrases = tuple(tuple(number[w] for w in p.split()) for p in texts)
-    anchors = tuple(max(range(len(p)), key=lambda j: (idf[p[j]], -p[j], -j)) for p in phrases)
-    return Index(tuple(words), idf, phrases, anchors, tuple((t.label, t.base, tuple((at, texts.index(p)) for at, p in t.phrases)) for t in templates))
+    rare = min((max(idf[i] for i in p) for p in phrases), default=0.0)
+    posted = sorted((i, k, at) for k, p in enumerate(phrases) for at, i in enumerate(p) if idf[i] >= rare)
+    ids, owners, places = np.array(posted, dtype=np.int64).reshape(-1, 3).T
+    return Index(
+        tuple(words), idf, phrases, np.searchsorted(ids, np.arange(len(words) + 2)), owners, places,
+        np.bincount(owners, minlength=len(phrases)), tuple((t.label, t.base, tuple((at, texts.index(p)) for at, p in t.phrases)) for t in templates),
+        tuple(np.array([number[w] for w in words_of(t.text)], dtype=np.int16) for t in templates))
 
 
 def find_phrases(index: Index, words: Words) -> list[np.ndarray]:
-    """For each phrase the words of the batch at which it starts, by way of its anchor's postings."""
-    rare = {index.phrases[k][a] for k, a in enumerate(index.anchors)}
-    table_ = np.zeros(len(index.words) + 1, dtype=bool)
-    table_[list(rare)] = True
-    spots = np.flatnonzero(table_[words.ids])
-    # Postings of the batch's licence words, highest inverse document frequency first.
-    postings = {i: spots[words.ids[spots] == i] for i in sorted(rare, key=lambda i: (-index.idf[i], i))}
+    """For each phrase the words of the batch at which it starts, in order, by way of the postings of rare words."""
+    n_posts = np.diff(index.post_from)
+    spots = np.flatnonzero(n_posts[words.ids])
+    ids = words.ids[spots].astype(np.int64)
+    per = n_posts[ids]
+    post = np.repeat(index.post_from[ids] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+    start = np.repeat(spots, per) - index.post_at[post]
+    owner = index.post_phrase[post]
     out = []
-    for phrase, anchor in zip(index.phrases, index.anchors):
-        start = postings[phrase[anchor]] - anchor
-        last = start + len(phrase) - 1
-        start = start[(start >= 0) & (last < len(words.ids))]
-        start = start[words.file[start] == words.file[start + len(phrase) - 1]] if len(start) else start
+    for k, phrase in enumerate(index.phrases):
+        at, votes = np.unique(start[owner == k], return_counts=True)
+        at = at[(votes == index.n_rare[k]) & (at >= 0) & (at + len(phrase) <= len(words.ids))]
+        at = at[words.file[at] == words.file[at + len(phrase) - 1]]
         for j, word in enumerate(phrase):
-            start = start[words.ids[start + j] == word]
-        out.append(start)
+            at = at[words.ids[at + j] == word]
+        out.append(at)
     return out
 
 
-def find_templates(index: Index, words: Words) -> list[tuple[int, int, int, float]]:
-    """(file, template, start in the file, share of the template's key words found) of every template place.
+def _nearest(places: np.ndarray, wanted: np.ndarray, file: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of the same file nearest to each wanted one, how far it is); the earlier of two, far off if there is none."""
+    best, far = np.zeros(len(wanted), dtype=np.int64), np.full(len(wanted), SLACK + 1, dtype=np.int64)
+    right = np.searchsorted(places, wanted)
+    for at in (right - 1, right) if len(places) else ():
+        there = places[np.clip(at, 0, len(places) - 1)]
+        off = np.abs(there - wanted)
+        closer = (at >= 0) & (at < len(places)) & (words.file[there] == file) & (off < far)
+        best, far = np.where(closer, there, best), np.where(closer, off, far)
+    return best, far
+
+
+def _found(text: np.ndarray, shift: np.ndarray, file: np.ndarray, words: Words) -> np.ndarray:
+    """Template words found for each place; ``shift`` puts each word of the template (column) at a word of the batch."""
+    low, high = words.first[file][:, None], (words.first[file] + words.count[file])[:, None]
+    found = np.zeros(shift.shape, dtype=bool)
+    for d in range(-SLACK, SLACK + 1):
+        at = shift + d
+        same = (at >= low) & (at < high)
+        same &= words.ids[np.clip(at, 0, len(words.ids) - 1)] == text
+        beside = np.zeros_like(same)
+        beside[:, 1:] |= same[:, :-1]
+        beside[:, :-1] |= same[:, 1:]
+        found |= same & beside if len(text) > 1 else same
+    return found.sum(axis=1)
 
-    A template of several phrases needs them all, each within SLACK words of where the first
-    phrase puts the template; the share falls with the words they are off by.
-    """
+
+def find_templates(index: Index, words: Words) -> list[tuple[int, int, int, float]]:
+    """(file, template, start of its first key phrase in the file, share) of every place of a template."""
     places = find_phrases(index, words)
     out = []
-    for t, (_, _, phrases) in enumerate(index.templates):
-        (first_at, first), *others = phrases
-        for start in places[first].tolist():
-            file, origin, off = words.file[start], start - first_at, 0
-            for at, k in others:
-                near = places[k][(places[k] >= origin + at - SLACK) & (places[k] <= origin + at + SLACK)]
-                near = near[words.file[near] == file]
-                if not len(near):
-                    break
-                off += int(np.abs(near - origin - at).min())
-            else:
-                n = sum(len(index.phrases[k]) for _, k in phrases)
-                out.append((int(file), t, int(start - words.first[file]), n / (n + off)))
+    for t, ((_, _, keys), text) in enumerate(zip(index.templates, index.texts)):
+        start = places[keys[0][1]]
+        chain, off = start[None, :], np.zeros(len(start), dtype=np.int64)
+        for (before, _), (at, k) in zip(keys, keys[1:]):
+            there, far = _nearest(places[k], chain[-1] + at - before, words.file[start], words)
+            near = far <= SLACK
+            start, chain, off = start[near], np.vstack([chain, there])[:, near], (off + far)[near]
+        # The key phrase that a word of the template follows tells where to look for it.
+        column = np.arange(len(text))
+        leader = np.maximum(np.searchsorted([at for at, _ in keys], column, "right") - 1, 0)
+        step = column - np.array([at for at, _ in keys])[leader]
+        for i in range(0, len(start), max(1, _CELLS // len(text))):
+            part = slice(i, i + max(1, _CELLS // len(text)))
+            file = words.file[start[part]]
+            share = _found(text, chain[leader, part].T + step, file, words) / (len(text) + off[part])
+            out += zip(file.tolist(), [t] * len(file), (start[part] - words.first[file]).tolist(), share.tolist())
     return out
 
 
 _OUT = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
     ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
-    ("places", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("base", pa.bool_())])))])
+    ("places", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("base", pa.bool_()), ("share", pa.float64())])))])
 _OUT_DDL = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-            "places array<struct<label: string, start: long, base: boolean>>")
+            "places array<struct<label: string, start: long, base: boolean, share: double>>")
 
 
 def scan(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per file: word count, places of base phrases, labels, score and every place found."""
+    """One row per file: word count, places of base phrases, labels, every place found and, as score, the largest share."""
     vocab = Vocabulary(index.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +256,7 @@ def scan(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "t
                 rows.append((
                     len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted({x[1] for x in hits if x[2]})),
                     ",".join(sorted({x[1] for x in hits})), max((x[3] for x in hits), default=0.0),
-                    [{"label": x[1], "start": x[0], "base": x[2]} for x in hits]))
+                    [{"label": x[1], "start": x[0], "base": x[2], "share": x[3]} for x in hits]))
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.record_batch([b.column(0), pa.array(words.count, pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(_OUT)[2:]))], schema=_OUT)
 

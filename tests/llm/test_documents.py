@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook.llm import components, language, licenses, simhash, toxicity, transport
+from formbook.llm.license_texts import words_of
 from formbook.llm.common import QUERIES, bucket, table
 from formbook.llm.catalog import MODULES  # noqa: F401
 from tests.llm import plain_toxicity
@@ -99,6 +101,77 @@ def test_templates_need_all_key_phrases(llm):
     assert got[2][0] == "gpl-3" and 0 < got[2][1] < 1
 
 
+def brute_templates(words):
+    """(label, start, share) by trying every chain of key phrases and every word of the template."""
+    for t in licenses.TEMPLATES:
+        text = words_of(t.text)
+        places = [[i for i in range(len(words)) if words[i:i + len(p.split())] == p.split()] for _, p in t.phrases]
+        for start in places[0]:
+            chain, off = [start], 0
+            for k in range(1, len(places)):
+                want = chain[-1] + t.phrases[k][0] - t.phrases[k - 1][0]
+                near = sorted((abs(i - want), i) for i in places[k] if abs(i - want) <= licenses.SLACK)
+                if not near:
+                    break
+                off += near[0][0]
+                chain.append(near[0][1])
+            else:
+                found = 0
+                at = [max([k for k in range(len(chain)) if t.phrases[k][0] <= j], default=0) for j in range(len(text))]
+                put = [chain[k] + j - t.phrases[k][0] for j, k in enumerate(at)]
+                for j in range(len(text)):
+                    for d in range(-licenses.SLACK, licenses.SLACK + 1):
+                        ok = [0 <= x < len(text) and 0 <= put[x] + d < len(words) and words[put[x] + d] == text[x] for x in (j - 1, j, j + 1)]
+                        if ok[1] and (ok[0] or ok[2] or len(text) == 1):
+                            found += 1
+                            break
+                yield t.label, start, round(found / (len(text) + off), 9)
+
+
+def test_template_shares_by_brute_force():
+    r = random.Random(9)
+    texts = []
+    for n in range(120):
+        parts = []
+        for t in r.sample(licenses.TEMPLATES, 3):
+            words = words_of(t.text)
+            cut = words[:r.randint(len(words) // 4, len(words))]
+            for _ in range(r.randint(0, 3)):  # words added, left out or changed
+                k = r.randrange(len(cut) + 1)
+                cut[k:k + r.randint(0, 2)] = r.choice([[], ["acme"], ["the", "license"]])
+            parts += cut
+        texts.append(" ".join(parts))
+    index = licenses.build_index({None: 1000, "the": 990, "software": 300, "license": 400})
+    found = licenses.find_templates(index, licenses.Vocabulary(index.words).scan([t.encode() for t in texts]))
+    got = Counter((f, index.templates[t][0], s, round(share, 9)) for f, t, s, share in found)
+    assert got == Counter((k, *x) for k, t in enumerate(texts) for x in brute_templates(words_of(t)))
+    assert len({x[1] for x in got}) > 10 and any(0.3 < x[3] < 0.7 for x in got) and any(x[3] == 1 for x in got)
+
+
+def test_partial_license_has_its_share(llm):
+    whole = next(t for t in licenses.TEMPLATES if t.label == "mit" and not t.base)
+    words = words_of(whole.text)
+    texts = ["Copyright (c) 2020 A. Person\n" + whole.text, "x " * 50 + " ".join(words[:len(words) // 2]), " ".join(words[30:])]
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df, licenses.index_of(df)).collect()}
+    assert got[0] == ("mit", 1.0) and got[2] == ("", 0.0)
+    assert got[1][0] == "mit" and abs(got[1][1] - 0.5) < 0.03
+
+
+def test_repeated_phrases_take_linear_time():
+    index = licenses.build_index({None: 10})
+    vocab = licenses.Vocabulary(index.words)
+
+    def seconds(n):
+        start = time.process_time()
+        found = licenses.find_templates(index, vocab.scan([b"gnu general public license version 3 " * n]))
+        assert sum(index.templates[t][0] == "gpl-3" and share == 1 for _, t, _, share in found) == n
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.05)
+
+
 def test_license_edge_cases(odd, empty):
     index = licenses.index_of(odd)
     got = licenses.scan(odd, index).collect()
