@@ -23,7 +23,7 @@ FAMILIES = {
     "distance_change": "stepping_up stepping_down entrant_dist_cat_runs at_preferred_dist distance_change entrant_dist_cat_wr_shrunk",
     "headgear": "has_headgear first_time_headgear headgear_off any_first_time_equip equip_count jockey_switch",
     "surface_record": "entrant_surface_runs first_time_surface surface_switch entrant_surface_wr_shrunk",
-    "gelding_and_prize": "first_time_gelded stepping_up_in_purse entrant_max_prize_contested prize_money_change_vs_avg",
+    "gelding_and_prize": "first_time_gelded stepping_up_in_purse entrant_max_prize_contested",
     "campaign_and_consistency": "races_in_last_30d trainer_switch class_vs_best_won entrant_pos_stddev_10 entrant_lb_stddev_5 month_sin",
     "jockey_record": "jockey_prev_rides jockey_wins_30d jockey_wins_20 jockey_avg_pos_10 jockey_win_rate_shrunk jockey_hot_vs_30d",
     "trainer_record": "trainer_prev_runs trainer_wins_20 trainer_win_rate_shrunk trainer_track_win_rate trainer_pr_30d_delta",
@@ -44,8 +44,8 @@ FAMILIES = {
 }
 # Missing values are filled with the column's median.
 SPEED = "speed_fig_avg_5 speed_fig_best_5 speed_fig_adj_avg_5 speed_fig_trend"
-RATED = "entrant_glicko entrant_glicko_rd entrant_glicko_vs_field"
-ELO = {"elo_entrant": "entrant_elo", "elo_margin": "entrant_margin_elo", "elo_jockey_by_race_type": "jockey_elo_rt"}
+RATED = "entrant_glicko entrant_glicko_rd"
+ELO = {"elo_entrant": "entrant_elo", "elo_margin": "entrant_margin_elo"}
 
 
 def _shown(df):
@@ -53,7 +53,8 @@ def _shown(df):
     for part, columns in FAMILIES.items():
         terms = [(k + 1) * F.coalesce(r6(c), F.lit(-0.5)) for k, c in enumerate(columns.split())]
         sums.append(r6(sum(terms[1:], terms[0]), f"{part}_sum", DIGITS))
-    return df.select("race_id", "entrant_id", *sums, *[r6(c, digits=DIGITS) for c in [*SPEED.split(), *RATED.split(), *ELO.values()]])
+    return df.select("race_id", "entrant_id", *sums, *[r6(r6(c), c, DIGITS) for c in SPEED.split()],
+                     r6(F.round("entrant_glicko", 6), "entrant_glicko", DIGITS), *[r6(c, digits=DIGITS) for c in ["entrant_glicko_rd", *ELO.values()]])
 
 
 def _sql(where: str = "true") -> str:
