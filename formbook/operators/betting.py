@@ -11,6 +11,7 @@ from formbook.functions.numeric import clip, col, cut, finite, kelly, log_loss_t
 from formbook.plans.ordered import Running, ordered
 from formbook.plans.skew import SkewProfile, profile_for
 from formbook.plans.within import with_ranks, with_totals
+from formbook.session import stored
 
 # Odds band and stake of an each-way bet.
 EW_MIN_ODDS, EW_MAX_ODDS, EW_STAKE = 4.0, 51.0, 2.0
@@ -238,12 +239,19 @@ BET_ORDER = ("race_date", "race_id", "entrant_id")
 
 def with_curves(bets: DataFrame, keys: Sequence[str] = ("strategy",), order: Sequence[str] = BET_ORDER,
                 skew: SkewProfile | None = None) -> DataFrame:
-    """Running P&L, stake and ROI, the peak so far and the drawdown from it."""
+    """Running P&L, stake and ROI, the peak so far and the drawdown from it.
+
+    A strategy of many bets is one hot key: its bets are stored once, as the chunked frames read them several times.
+    """
     keys = list(keys)
+    bets = stored(bets)
+    skew = SkewProfile.of(bets, [tuple(keys)], skew.limit if skew else None)
     df = ordered(bets, keys, order, {
         "cum_pnl": Running("sum", F.col("pnl"), current=True),
         "cum_staked": Running("sum", F.col("stake"), current=True),
         "bet_number": Running("count", F.lit(1), current=True)}, skew)
+    if skew.hot(bets, keys) is not None:
+        df = stored(df)
     df = ordered(df, keys, order, {"peak": Running("max", F.col("cum_pnl"), current=True)}, skew)
     return df.select("*", F.when(F.col("cum_staked") > 0, F.col("cum_pnl") / F.col("cum_staked") * 100)
                      .otherwise(0.0).alias("cum_roi_pct"), (F.col("peak") - F.col("cum_pnl")).alias("drawdown"))

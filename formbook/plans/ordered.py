@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from formbook.plans.skew import SkewProfile, profile_for
+from formbook.session import stored
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -162,77 +163,34 @@ def _chunked(df, keys, order, specs: dict[str, Spec], limit: int) -> DataFrame:
     return out.select(*df.columns, *final)
 
 
-# Sampled values between two cuts of a string column.
-SAMPLED = 16
-
-
 def with_ordinal(df: DataFrame, keys, order, name: str, limit: int) -> DataFrame:
     """Position of every row inside its (hot) key without sorting a key in one task.
 
-    Rows are cut into slices at approximate quantiles of the leading order
-    column; a slice is sorted by one task and shifted by the size of the earlier
-    slices.  A slice that is still too large (a tied leading value) is cut again
-    by the remaining order columns.
+    Rows are dealt by ranges of (keys, order) into partitions of about a quarter of the limit and
+    stored, so that every reader sees the same ranges; a range is sorted by one task and shifted by
+    the size of its key's earlier ranges.
     """
-    lead, rest = order_columns(order)[0], list(order)[1:]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.agg(F.max("n")).first()[0] or 0
     w = Window.partitionBy(*keys).orderBy(*order_columns(order))
-    if largest <= limit:
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = groups.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= limit:
         return df.select("*", F.row_number().over(w).cast("long").alias(name))
-    cuts = int(-(-largest // limit) * 4)
-    if dict(df.dtypes).get(order[0] if isinstance(order[0], str) else "") == "string":
-        # Every SAMPLED-th of a hashed sample of the values themselves; more equal values only fill one slice.
-        number = lead
-        rate = max(1, largest // (cuts * SAMPLED))
-        values = df.where(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if "map" not in dict(df.dtypes)[c]]), F.lit(rate)) == 0)
-        edges = values.groupBy(*keys).agg(F.array_distinct(F.filter(
-            F.sort_array(F.collect_list(number)), lambda _, i: (i + 1) % SAMPLED == 0)).alias("_edges"))
-        edges = null_safe_join(groups.drop("n"), edges, keys).withColumn("_edges", F.coalesce("_edges", F.array().cast("array<string>")))
-    else:
-        number = _as_number(df, order[0])
-        edges = df.groupBy(*keys).agg(
-            F.array_distinct(F.percentile_approx(number, [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_edges"))
-    # Written once: both uses below must see the same edges.
-    edges = edges.checkpoint()
-    # Names carry the depth: the last step may cut a slice again.
+    ranges = int(-(-total // limit) * 4)
+    # Names carry the depth: a caller's own keys may be ranges already.
     d = len(keys)
-    slice_, lead_, before, ahead, inside = (f"_{n}{d}" for n in ("slice", "lead", "before", "ahead", "in"))
-    sliced = null_safe_join(df, edges, keys).withColumn(
-        slice_, F.when(number.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_edges", lambda e: e < number)))
-    ).drop("_edges")
-    counts = sliced.groupBy(*keys, slice_).agg(F.count(F.lit(1)).alias("_n"))
+    range_, before, inside = (f"_{n}{d}" for n in ("range", "before", "in"))
+    dealt = stored(df.repartitionByRange(ranges, *[F.col(k) for k in keys], *order_columns(order))
+                   .withColumn(range_, F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, range_).agg(F.count(F.lit(1)).alias("_n"))
     earlier = counts.select(
-        *keys, slice_,
-        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(slice_).rowsBetween(UNBOUNDED, -1)),
+        *keys, range_,
+        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(range_).rowsBetween(UNBOUNDED, -1)),
                    F.lit(0)).alias(before))
-    inner = [*keys, slice_]
-    crowded = counts.agg(F.max("_n")).first()[0] > limit
-    if crowded and rest:
-        # Order by the leading value first, then split its ties by the rest.
-        lead_counts = sliced.groupBy(*inner, lead.alias(lead_)).agg(F.count(F.lit(1)).alias("_n"))
-        ties_before = lead_counts.select(
-            *inner, lead_,
-            F.coalesce(F.sum("_n").over(Window.partitionBy(*inner).orderBy(lead_).rowsBetween(UNBOUNDED, -1)),
-                       F.lit(0)).alias(ahead))
-        sliced = null_safe_join(sliced.withColumn(lead_, lead), ties_before, [*inner, lead_])
-        sliced = with_ordinal(sliced, [*inner, lead_], rest, inside, limit)
-        here = F.col(ahead) + F.col(inside)
-    else:
-        sliced = sliced.select("*", F.row_number().over(
-            Window.partitionBy(*inner).orderBy(*order_columns(order))).cast("long").alias(inside))
-        here = F.col(inside)
-    return null_safe_join(sliced, earlier, inner).select(
-        *df.columns, (F.col(before) + here).cast("long").alias(name))
-
-
-def _as_number(df: DataFrame, col: str) -> Column:
-    kind = dict(df.dtypes)[col]
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    return F.col(col).cast("double")
+    inner = [*keys, range_]
+    placed = dealt.select("*", F.row_number().over(
+        Window.partitionBy(*inner).orderBy(*order_columns(order))).cast("long").alias(inside))
+    return null_safe_join(placed, earlier, inner).select(
+        *df.columns, (F.col(before) + F.col(inside)).cast("long").alias(name))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
