@@ -18,7 +18,6 @@ from formbook.operators import grid as G
 from formbook.operators import joins as J
 from formbook.operators import metrics as M
 from formbook.operators import tables as T
-from formbook.plans.within import with_totals
 from formbook.session import checkpoint_root
 from formbook.sources import nested as N
 from formbook.sources.runners import table
@@ -391,10 +390,7 @@ s as (select *, coalesce(wp - 1 / best_back_odds >= 0.02 and best_back_available
 def signals(spark, sf):
     book = N.flatten_order_book(order_books(spark, sf)).select(
         "event_id", "entrant_name", "best_back_odds", "best_back_available", "best_lay_odds", "best_lay_available")
-    # The given probability of a runner in the market: its price, less the market's overround.
-    anchor = F.coalesce("best_back_odds", "best_lay_odds")
-    given = with_totals(book.withColumn("_r", F.when(anchor > 1.0, 1.0 / anchor).otherwise(0.01)), ["event_id"], {"_t": F.sum("_r")})
-    return D.price_signals(given.withColumn("win_probability", F.col("_r") / F.col("_t")).drop("_r", "_t"))
+    return D.price_signals(D.market_probabilities(book))
 
 
 @query("price_signals", "B21 J15", f"""{_SIG} select event_id, entrant_name, {dbls(win_probability='wp', fair_odds=
