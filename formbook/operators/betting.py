@@ -282,10 +282,13 @@ def value_quality(preds: DataFrame, base: float = 0.05) -> DataFrame:
 
 
 def daily_pnl(bets: DataFrame, keys: Sequence[str] = ("strategy",), skew=None) -> DataFrame:
-    """Daily totals with a running total."""
+    """Daily totals with a running total.
+
+    The totals, a row a day, are stored: the bets are made once, also when the days of a key are counted first.
+    """
     keys = list(keys)
-    daily = bets.groupBy(*keys, "race_date").agg(
-        F.sum("pnl").alias("daily_pnl"), F.count(F.lit(1)).alias("daily_bets"), F.sum("won").alias("daily_wins"))
+    daily = stored(bets.groupBy(*keys, "race_date").agg(
+        F.sum("pnl").alias("daily_pnl"), F.count(F.lit(1)).alias("daily_bets"), F.sum("won").alias("daily_wins")))
     return ordered(daily, keys, ["race_date"], {"cum_pnl": Running("sum", F.col("daily_pnl"), current=True)}, skew)
 
 
